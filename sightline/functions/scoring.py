@@ -23,6 +23,7 @@ WEIGHTS = {
 TAU_DAYS = 14
 MAGNITUDE_LOW, MAGNITUDE_HIGH = 8_000.0, 50_000_000.0
 CORROBORATION_STEP = 0.25
+STEP = 0.001  # published signals are sums rounded to this step
 DIRECT, TOPICAL = 1.0, 0.6
 WINDOW_BEFORE, WINDOW_AFTER = 45, 30
 THRESHOLD, MAX_PER_TRADE = 25.0, 25

@@ -2,11 +2,11 @@
 
 Scale notes. A pair's score depends on the trade only through (company, day, side,
 authority, band), its *profile*; and on the event only through (day, specificity, impact).
-So the window join runs on distinct (company, day) rows against events that are reduced,
-per (key, day, kind, impact), to the first ``keep`` by id. Events of one such class score
-the same for every trade and ties go by id, so no later event of a class can enter a
-trade's top list; and a topical event that also names the company scores no lower as a
-direct one. ``keep`` is never below the count at which the corroboration bonus saturates,
+So the window joins run on distinct (company, day, side) and (topic set, day, side) slots,
+against events reduced per (key, day, kind, impact) to the first ``keep`` by id, and pass on
+only the events that can still reach a top list. All of that is exact: events of one class
+score alike for every trade and ties go by id; and an event in both tiers scores no lower as
+a direct one. ``keep`` is never below the count at which the corroboration bonus saturates,
 so the bonus is exact as well. Trades are joined back last, when only the winners are left.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators.gates import public_trades, trusted_statements
 from ..operators.intervals import window_join
+from ..session import cut_lineage
 
 PROFILE = ["company_id", "trade_date", "side", "authority", "band"]
 
@@ -46,110 +47,108 @@ def scored_trades(trade, filing, company, person) -> DataFrame:
     )
 
 
-def _sentiment_rank(mention: DataFrame) -> DataFrame:
-    """Mentions with the order in which their sentiments are preferred as one struct."""
-    return mention.withColumn(
-        "pick",
-        F.when(
-            F.col("sentiment").isNotNull(),
-            F.struct(
-                F.when(F.col("method") == "llm", 0).otherwise(1).alias("later"),
-                (-F.col("confidence")).alias("doubt"),
-                F.col("char_start"),
-                F.col("id").alias("mention_id"),
-                "sentiment",
-            ),
+def _sentiment_pick() -> F.Column:
+    """The order in which sentiments of one statement are preferred, as one struct."""
+    return F.when(
+        F.col("sentiment").isNotNull(),
+        F.struct(
+            F.when(F.col("method") == "llm", 0).otherwise(1).alias("later"),
+            (-F.col("confidence")).alias("doubt"),
+            F.col("char_start"),
+            F.col("id").alias("mention_id"),
+            "sentiment",
         ),
     )
 
 
-def event_links(statement, mention, action, target) -> tuple[DataFrame, DataFrame]:
-    """Distinct (company, event) and (topic, event) links of trusted events."""
-    trusted = trusted_statements(statement).select(
-        F.col("id").alias("event_id"), F.col("spoken_at").alias("event_date")
-    )
-    ranked = _sentiment_rank(mention)
-    named_acts = action.select(
-        F.col("id").alias("event_id"), F.col("occurred_on").alias("event_date"), "action_type"
-    )
+def _statement_impact(pick: str) -> F.Column:
+    return S.event_impact(F.lit("statement"), F.col(f"{pick}.sentiment"), F.lit(None))
 
-    def statements_by(key: str, name: str) -> DataFrame:
-        spans = ranked.filter(F.col(key).isNotNull()).select(
-            F.col("statement_id").alias("event_id"), F.col(key).alias(name), "pick"
-        )
-        return (
-            spans.groupBy("event_id", name)
-            .agg(F.min("pick").alias("pick"))
-            .join(trusted, "event_id")
-            .select(
-                name,
-                F.lit("statement").alias("kind"),
-                "event_id",
-                "event_date",
-                "pick",
-                F.lit(None).cast("string").alias("action_type"),
-            )
-        )
 
-    def actions_by(key: str, name: str, like: DataFrame) -> DataFrame:
-        hits = target.filter(F.col(key).isNotNull()).select(
-            F.col("action_id").alias("event_id"), F.col(key).alias(name)
-        )
-        return (
-            hits.distinct()
-            .join(named_acts, "event_id")
-            .select(
-                name,
-                F.lit("action").alias("kind"),
-                "event_id",
-                "event_date",
-                F.lit(None).cast(like.schema["pick"].dataType).alias("pick"),
-                "action_type",
-            )
-        )
-
-    direct = statements_by("company_id", "company_id")
-    topical = statements_by("sector", "topic")
-    return (
-        direct.unionByName(actions_by("company_id", "company_id", direct)),
-        topical.unionByName(actions_by("sector", "topic", topical)),
-    )
+LINK = ["kind", "event_id", "event_date", "impact"]
 
 
-def _impact() -> F.Column:
-    return S.event_impact(F.col("kind"), F.col("pick.sentiment"), F.col("action_type"))
+def topic_sets(company: DataFrame) -> DataFrame:
+    """Distinct topic sets of companies, one row per set and topic."""
+    return company.select(F.array_sort(F.array_distinct("topics")).alias("topics")).distinct().select(
+        F.array_join("topics", ",").alias("topic_set"), F.explode("topics").alias("topic")
+    )
 
 
-def keyed_events(direct: DataFrame, topical: DataFrame, company: DataFrame):
-    """Events per company and per topic set, with the impact they have for that company.
+def company_events(company, statement, mention, action, target) -> DataFrame:
+    """Events naming a company, with the impact they have for it.
 
     The sentiment of a statement towards a company is the best ranked one among its
     mentions of the company and of the company's topics.
     """
-    sets = company.select(F.array_sort(F.array_distinct("topics")).alias("topics"))
-    set_topics = sets.distinct().select(
-        F.array_join("topics", ",").alias("topic_set"), F.explode("topics").alias("topic")
+    trusted = trusted_statements(statement).select(
+        F.col("id").alias("event_id"), F.col("spoken_at").alias("event_date")
     )
-    by_set = (
-        topical.join(set_topics, "topic")
-        .groupBy("topic_set", "kind", "event_id", "event_date", "action_type")
+    topics = company.select(F.col("id").alias("company_id"), "topics")
+    named = (
+        mention.filter(F.col("company_id").isNotNull())
+        .select(F.col("statement_id").alias("event_id"), "company_id", _sentiment_pick().alias("pick"))
+        .groupBy("event_id", "company_id")
         .agg(F.min("pick").alias("pick"))
-        .select("topic_set", "kind", "event_id", "event_date", _impact().alias("impact"))
     )
-    company_topics = company.select(
-        F.col("id").alias("company_id"), F.explode_outer(F.array_distinct("topics")).alias("topic")
+    topical = (
+        mention.filter(F.col("sector").isNotNull() & F.col("sentiment").isNotNull())
+        .select(F.col("statement_id").alias("event_id"), "sector", _sentiment_pick().alias("other"))
+        .groupBy("event_id", "sector")
+        .agg(F.min("other").alias("other"))
     )
-    opinions = topical.filter(F.col("pick").isNotNull()).select(
-        "topic", "kind", "event_id", F.col("pick").alias("topic_pick")
+    own_topic = F.array_contains("topics", F.col("sector"))
+    statements = (
+        named.join(trusted, "event_id")
+        .join(topics, "company_id", "left")
+        .join(topical, "event_id", "left")
+        .groupBy("company_id", "event_id", "event_date")
+        .agg(F.min(F.least("pick", F.when(own_topic, F.col("other")))).alias("pick"))
+        .select(
+            "company_id", F.lit("statement").alias("kind"), "event_id", "event_date",
+            _statement_impact("pick").alias("impact"),
+        )
     )
-    by_company = (
-        direct.join(company_topics, "company_id")
-        .join(opinions, ["topic", "kind", "event_id"], "left")
-        .groupBy("company_id", "kind", "event_id", "event_date", "action_type")
-        .agg(F.min(F.least("pick", "topic_pick")).alias("pick"))
-        .select("company_id", "kind", "event_id", "event_date", _impact().alias("impact"))
+    return statements.unionByName(_linked_actions(action, target, "company_id", "company_id"))
+
+
+def topic_events(company, statement, mention, action, target) -> DataFrame:
+    """Events addressing a topic, per distinct topic set of the companies."""
+    sets = topic_sets(company)
+    trusted = trusted_statements(statement).select(
+        F.col("id").alias("event_id"), F.col("spoken_at").alias("event_date")
+    )
+    statements = (
+        mention.filter(F.col("sector").isNotNull())
+        .select(
+            F.col("statement_id").alias("event_id"),
+            F.col("sector").alias("topic"),
+            _sentiment_pick().alias("pick"),
+        )
+        .join(sets, "topic")
+        .groupBy("topic_set", "event_id")
+        .agg(F.min("pick").alias("pick"))
+        .join(trusted, "event_id")
+        .select(
+            "topic_set", F.lit("statement").alias("kind"), "event_id", "event_date",
+            _statement_impact("pick").alias("impact"),
+        )
+    )
+    actions = _linked_actions(action, target, "sector", "topic").join(sets, "topic")
+    return statements.unionByName(actions.select("topic_set", *LINK).distinct())
+
+
+def _linked_actions(action, target, key: str, name: str) -> DataFrame:
+    acts = action.select(
+        F.col("id").alias("event_id"), F.col("occurred_on").alias("event_date"), "action_type"
+    )
+    hits = target.filter(F.col(key).isNotNull()).select(
+        F.col("action_id").alias("event_id"), F.col(key).alias(name)
+    )
+    impact = S.event_impact(F.lit("action"), F.lit(None), F.col("action_type"))
+    return hits.distinct().join(acts, "event_id").select(
+        name, F.lit("action").alias("kind"), "event_id", "event_date", impact.alias("impact")
     )
-    return by_company, by_set
 
 
 def first_of_class(events: DataFrame, key: str, keep: int) -> DataFrame:
@@ -158,10 +157,8 @@ def first_of_class(events: DataFrame, key: str, keep: int) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
 
 
-def day_candidates(
-    days: DataFrame, by_company: DataFrame, by_set: DataFrame, before: int, after: int
-) -> DataFrame:
-    """Window join of (company, day) rows with both tiers; direct links win over topical."""
+def day_candidates(days, by_company, by_set, before: int, after: int) -> DataFrame:
+    """All candidates of (company, day) rows from both tiers; direct links win over topical."""
     window = dict(left_day="trade_date", right_day="event_date", before=before, after=after)
     direct = window_join(days, by_company, ["company_id"], **window)
     topical = window_join(days, by_set, ["topic_set"], **window)
@@ -169,34 +166,59 @@ def day_candidates(
     both = direct.select(*columns, F.lit(S.DIRECT).alias("specificity")).unionByName(
         topical.select(*columns, F.lit(S.TOPICAL).alias("specificity"))
     )
-    # One exchange serves the merge, the count and the join with profiles below.
+    return both.groupBy("company_id", "trade_date", "kind", "event_id", "days_gap").agg(
+        F.max("specificity").alias("specificity"),
+        F.max_by("impact", "specificity").alias("impact"),
+    )
+
+
+def leading_events(slots, events, key: str, keep: int, before: int, after: int, weights, tau):
+    """Per (key, day, side): every event that may rank among the best `keep` of a profile.
+
+    Within one tier only closeness and direction differ between the events of a slot. An
+    event more than one rounding step behind the `keep`-th cannot reach it by rounding.
+    """
+    slot = [key, "trade_date", "side"]
+    found = window_join(
+        slots.select(*slot).distinct(), first_of_class(events, key, keep), [key],
+        "trade_date", "event_date", before, after,
+    )
+    parts = found.select(
+        *slot, "kind", "event_id", "days_gap",
+        S.temporal(F.col("days_gap"), tau).alias("c_temporal"),
+        S.direction(F.col("side"), F.col("impact")).alias("c_direction"),
+    )
+    worth = weights["temporal"] * F.col("c_temporal") + weights["direction"] * F.col("c_direction")
+    order = Window.partitionBy(*slot).orderBy(F.desc("_worth"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        both.repartition("company_id", "trade_date")
-        .groupBy("company_id", "trade_date", "kind", "event_id", "days_gap")
-        .agg(
-            F.max("specificity").alias("specificity"),
-            F.max_by("impact", "specificity").alias("impact"),
-        )
+        parts.withColumn("_worth", worth)
+        .withColumn("_last", F.nth_value("_worth", keep).over(whole))
+        .filter(F.col("_last").isNull() | (F.col("_worth") > F.col("_last") - (S.STEP + 1e-9)))
+        .drop("_worth", "_last")
     )
 
 
-def score_profiles(profiles, candidates, *, weights=S.WEIGHTS, tau=S.TAU_DAYS) -> DataFrame:
-    """Candidates of each profile with the six components and the signal."""
-    per_day = Window.partitionBy("company_id", "trade_date")
-    counted = candidates.withColumn("events", F.count(F.lit(1)).over(per_day))
-    parts = {
-        "temporal": S.temporal(F.col("days_gap"), tau),
-        "specificity": F.col("specificity"),
-        "authority": F.col("authority"),
-        "direction": S.direction(F.col("side"), F.col("impact")),
-        "magnitude": S.magnitude(F.col("band")),
-        "corroboration": S.corroboration(F.col("events")),
-    }
-    keys = ["kind", "event_id", "days_gap"]
-    joined = profiles.join(counted, ["company_id", "trade_date"])
-    named = joined.select(*PROFILE, *keys, *[c.alias(f"c_{n}") for n, c in parts.items()])
-    values = {name: F.col(f"c_{name}") for name in parts}
-    return named.withColumn("signal", S.signal(values, weights))
+def score_profiles(direct, topical, *, weights=S.WEIGHTS) -> DataFrame:
+    """Merge both tiers of each profile and add the remaining components and the signal."""
+    columns = [*PROFILE, "kind", "event_id", "days_gap", "c_temporal", "c_direction"]
+    both = direct.select(*columns, F.lit(S.DIRECT).alias("c_specificity")).unionByName(
+        topical.select(*columns, F.lit(S.TOPICAL).alias("c_specificity"))
+    )
+    # One exchange on the profile serves the merge, the count, the ranking and the last join.
+    merged = (
+        both.repartition(*PROFILE)
+        .groupBy(*PROFILE, "kind", "event_id", "days_gap", "c_temporal")
+        .agg(
+            F.max("c_specificity").alias("c_specificity"),
+            F.max_by("c_direction", "c_specificity").alias("c_direction"),
+        )
+    )
+    counted = merged.withColumn(
+        "c_corroboration", S.corroboration(F.count(F.lit(1)).over(Window.partitionBy(*PROFILE)))
+    ).withColumns({"c_authority": F.col("authority"), "c_magnitude": S.magnitude(F.col("band"))})
+    values = {name: F.col(f"c_{name}") for name in weights}
+    return counted.withColumn("signal", S.signal(values, weights))
 
 
 def correlate(
@@ -218,19 +240,18 @@ def correlate(
 ) -> DataFrame:
     """Scored pairs at or above the threshold, the best `max_per_trade` of each trade."""
     keep = max(max_per_trade, S.corroboration_saturation())
+    events = (company, statement, mention, action, target)
     trades = scored_trades(trade, filing, company, person)
-    direct, topical = event_links(statement, mention, action, target)
-    by_company, by_set = keyed_events(direct, topical, company)
-    days = trades.select("company_id", "topic_set", "trade_date").distinct()
-    candidates = day_candidates(
-        days,
-        first_of_class(by_company, "company_id", keep),
-        first_of_class(by_set, "topic_set", keep),
-        before,
-        after,
+    # Distinct profiles are read three times below, so they are written once.
+    profiles = cut_lineage(trades.select(*PROFILE, "topic_set").distinct())
+    options = dict(keep=keep, before=before, after=after, weights=weights, tau=tau)
+    direct = leading_events(profiles, company_events(*events), "company_id", **options)
+    topical = leading_events(profiles, topic_events(*events), "topic_set", **options)
+    scored = score_profiles(
+        profiles.join(direct, ["company_id", "trade_date", "side"]),
+        profiles.join(topical, ["topic_set", "trade_date", "side"]),
+        weights=weights,
     )
-    profiles = trades.select(*PROFILE).distinct()
-    scored = score_profiles(profiles, candidates, weights=weights, tau=tau)
     best = Window.partitionBy(*PROFILE).orderBy(
         F.desc("signal"), F.desc("c_specificity"), F.desc("kind"), F.asc("event_id")
     )
