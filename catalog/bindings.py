@@ -414,6 +414,6 @@ def with_correlations(query: str, threshold: float = 25, cap: int = 25) -> str:
 
 def _prefix(head: str, query: str) -> str:
     body = query.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {head},\n{body[5:]}"
+    if body.split(None, 1)[0].upper() == "WITH":
+        return f"WITH {head},\n{body[4:]}"
     return f"WITH {head}\n{body}"
