@@ -180,8 +180,7 @@ def leading_events(slots, events, key: str, keep: int, before: int, after: int,
     """
     slot = [key, "trade_date", "side"]
     found = window_join(
-        slots.select(*slot).distinct(), first_of_class(events, key, keep), [key],
-        "trade_date", "event_date", before, after,
+        slots.select(*slot).distinct(), events, [key], "trade_date", "event_date", before, after
     )
     parts = found.select(
         *slot, "kind", "event_id", "days_gap",
@@ -242,14 +241,16 @@ def correlate(
     keep = max(max_per_trade, S.corroboration_saturation())
     events = (company, statement, mention, action, target)
     trades = scored_trades(trade, filing, company, person)
-    # Distinct profiles are read three times below, so they are written once.
+    # Read several times below, so written once; this also keeps the plans short.
     profiles = cut_lineage(trades.select(*PROFILE, "topic_set").distinct())
     options = dict(keep=keep, before=before, after=after, weights=weights, tau=tau)
-    direct = leading_events(profiles, company_events(*events), "company_id", **options)
-    topical = leading_events(profiles, topic_events(*events), "topic_set", **options)
+    named = cut_lineage(first_of_class(company_events(*events), "company_id", keep))
+    topical = cut_lineage(first_of_class(topic_events(*events), "topic_set", keep))
+    direct = leading_events(profiles, named, "company_id", **options)
+    indirect = leading_events(profiles, topical, "topic_set", **options)
     scored = score_profiles(
         profiles.join(direct, ["company_id", "trade_date", "side"]),
-        profiles.join(topical, ["topic_set", "trade_date", "side"]),
+        profiles.join(indirect, ["topic_set", "trade_date", "side"]),
         weights=weights,
     )
     best = Window.partitionBy(*PROFILE).orderBy(
