@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with SQL oracles."""
 
-from . import read_checks, scoring_checks  # noqa: F401
+from . import match_checks, read_checks, scoring_checks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .numeric import let
 
 
 def _words(text: Column) -> Column:
@@ -23,9 +24,14 @@ def match_key(name: Column) -> Column:
         _words(F.regexp_replace(F.lower(name), "[^a-z0-9 ]", " ")),
         lambda w: (F.length(w) >= 4) & ~w.isin(fixed.GENERIC_NAME_WORDS),
     )
-    first, second = F.try_element_at(kept, F.lit(1)), F.try_element_at(kept, F.lit(2))
-    alone = F.when((F.length(first) >= 5) & ~first.isin(fixed.WEAK_SOLO_TOKENS), first)
-    return F.when(F.size(kept) == 1, alone).when(F.size(kept) >= 2, F.concat_ws(" ", first, second))
+
+    def key(words: Column) -> Column:
+        first, second = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2))
+        alone = F.when((F.length(first) >= 5) & ~first.isin(fixed.WEAK_SOLO_TOKENS), first)
+        phrase = F.concat_ws(" ", first, second)
+        return F.when(F.size(words) == 1, alone).when(F.size(words) >= 2, phrase)
+
+    return let(kept, key)
 
 
 def usable_ticker(ticker: Column) -> Column:

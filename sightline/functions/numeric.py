@@ -17,3 +17,8 @@ def half_up(value: Column, digits: int = 0) -> Column:
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

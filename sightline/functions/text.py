@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .numeric import let
 
 BLANK = r"[\s\x{00A0}]+"
 # Named and numeric entities with an own replacement.
@@ -36,16 +37,19 @@ def squeezed(text: Column) -> Column:
 
 def decode_numeric_entities(text: Column) -> Column:
     """Replace every &#NNN; by its character; the distinct codes of a text are folded in."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
 
     def put(done: Column, code: Column) -> Column:
         # UTF-32 bytes of the code point, so characters beyond the basic plane work too
-        number = F.try_element_at(F.transform(F.array(code), lambda c: c.try_cast("int")), F.lit(1))
+        number = code.try_cast("int")
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         return F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), F.when(known, char).otherwise(F.lit("")))
 
-    return F.aggregate(codes, text, put)
+    def decode(raw: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(raw, F.lit(r"&#(\d+);"), F.lit(1)))
+        return F.aggregate(codes, raw, put)
+
+    return let(text, decode)
 
 
 def html_to_text(html: Column, *, drop_head: bool = False) -> Column:
@@ -77,22 +81,29 @@ def opening_words(text: Column, take: int) -> Column:
     return F.slice(F.filter(words, lambda w: F.length(w) >= 3), 1, take)
 
 
+def adjacent_pairs(words: Column) -> Column:
+    """Neighbouring words joined by a blank; `words` must be cheap, a column or a let."""
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(words, F.lit(1), count), F.slice(words, F.lit(2), count), lambda a, b: F.concat_ws(" ", a, b)
+    )
+
+
 def bigrams(words: Column) -> Column:
     """Distinct adjacent word pairs; none for texts under four words."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.when(F.size(words) >= 4, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(words, lambda w: F.when(F.size(w) >= 4, F.array_distinct(adjacent_pairs(w))).otherwise(none))
 
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of two sets; 0 when either is empty."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        (F.lit(2.0) * common) / (F.size(a) + F.size(b))
-    )
+
+    def of(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        share = (F.lit(2.0) * common) / (F.size(x) + F.size(y))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(share)
+
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def text_similarity(a: Column, b: Column, take: int = 120) -> Column:

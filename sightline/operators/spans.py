@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, names
-from ..functions.text import ascii_bounded, trimmed
+from ..functions.numeric import let
+from ..functions.text import adjacent_pairs, ascii_bounded, trimmed
 
 CONTEXT = 80
 COMPANY_CONFIDENCE, TOPIC_CONFIDENCE, METHOD = 0.6, 0.5, "gazetteer"
@@ -26,18 +27,11 @@ def build_gazetteer(company: DataFrame) -> DataFrame:
 
 def _terms(text: Column) -> Column:
     """Distinct lower-case words, blank-separated word pairs and $tickers of a text."""
-    runs = F.filter(
-        F.split(F.lower(text), r"[^a-z0-9_\s]+"), lambda r: F.length(F.trim(r)) > 0
-    )
+    runs = F.filter(F.split(F.lower(text), r"[^a-z0-9_\s]+"), lambda r: r.rlike("[a-z0-9_]"))
 
     def of_run(run: Column) -> Column:
         words = F.filter(F.split(run, r"\s+"), lambda w: w != "")
-        pairs = F.zip_with(
-            F.slice(words, F.lit(1), F.size(words) - 1),
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        )
-        return F.concat(words, pairs)
+        return let(words, lambda w: F.concat(w, adjacent_pairs(w)))
 
     cashtags = F.regexp_extract_all(text, F.lit(r"\$[A-Za-z0-9_]+"), F.lit(0))
     return F.array_distinct(F.concat(F.flatten(F.transform(runs, of_run)), cashtags))
@@ -67,20 +61,30 @@ def gazetteer_terms(gazetteer: DataFrame) -> DataFrame:
 
 
 def locate(text: Column, pattern: Column) -> Column:
-    """Array of (quote, char_start, char_end) of all matches of a pattern in a text."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda part: F.length(part))
+    """Array of (char_start, char_end, match) of all matches of a pattern in a text."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def span(match: Column, at: Column) -> Column:
-        start = F.aggregate(F.slice(gaps, F.lit(1), at + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(
-            F.slice(found, F.lit(1), at), F.lit(0), lambda a, m: a + F.length(m)
+    def span(match: Column, at: Column, sizes: Column, widths: Column) -> Column:
+        add = lambda total, x: total + x
+        start = F.aggregate(F.slice(sizes, F.lit(1), at + 1), F.lit(0), add) + F.aggregate(
+            F.slice(widths, F.lit(1), at), F.lit(0), add
         )
-        end = start + F.length(match)
-        low = F.greatest(start - CONTEXT, F.lit(0))
-        quote = trimmed(F.substring(text, low + 1, end + CONTEXT - low))
-        return F.struct(quote.alias("quote"), start.alias("char_start"), end.alias("char_end"), match.alias("match"))
+        return F.struct(start.alias("char_start"), (start + F.length(match)).alias("char_end"), match.alias("match"))
+
+    def all_spans(matches: Column) -> Column:
+        return let(gaps, lambda sizes: let(
+            F.transform(matches, F.length),
+            lambda widths: F.transform(matches, lambda m, at: span(m, at, sizes, widths)),
+        ))
+
+    return let(found, all_spans)
+
 
-    return F.transform(found, span)
+def context(text: Column) -> Column:
+    """The span with up to 80 characters on each side, trimmed."""
+    low = F.greatest(F.col("char_start") - CONTEXT, F.lit(0))
+    return trimmed(F.substring(text, low + 1, F.col("char_end") + CONTEXT - low))
 
 
 def _verified(df: DataFrame, text: str) -> DataFrame:
@@ -103,6 +107,7 @@ def find_company_spans(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     return (
         _verified(spans.select("doc_id", "company_id", "text", "span.*"), "text")
+        .withColumn("quote", context(F.col("text")))
         .groupBy("doc_id", "company_id", "char_start")
         .agg(F.max_by("quote", "char_end").alias("quote"), F.max("char_end").alias("char_end"))
         .withColumns({"confidence": F.lit(COMPANY_CONFIDENCE), "method": F.lit(METHOD)})
@@ -121,7 +126,6 @@ def find_topic_spans(texts: DataFrame, topics: list[tuple[str, str]] | None = No
         first.append(
             F.when(match != "", F.struct(F.lit(name).alias("topic"), at.alias("char_start"), match.alias("match")))
         )
-    low = F.greatest(F.col("char_start") - CONTEXT, F.lit(0))
     return (
         texts.select("doc_id", "text", F.explode(F.array_compact(F.array(*first))).alias("hit"))
         .select("doc_id", "text", "hit.*")
@@ -129,7 +133,7 @@ def find_topic_spans(texts: DataFrame, topics: list[tuple[str, str]] | None = No
         .transform(_verified, "text")
         .select(
             "doc_id", "topic", "char_start", "char_end",
-            trimmed(F.substring("text", low + 1, F.col("char_end") + CONTEXT - low)).alias("quote"),
+            context(F.col("text")).alias("quote"),
             F.lit(TOPIC_CONFIDENCE).alias("confidence"), F.lit(METHOD).alias("method"),
         )
     )
@@ -165,11 +169,14 @@ def link_actions(
 def verify_quote(text: Column, quote: Column) -> Column:
     """(char_start, char_end) of the first verbatim occurrence; NULL when it is not there."""
     wanted = trimmed(quote)
-    at = F.instr(text, wanted)
-    return F.when(
-        (F.length(wanted) >= 3) & (at > 0),
-        F.struct((at - 1).alias("char_start"), (at - 1 + F.length(wanted)).alias("char_end")),
-    )
+
+    def found(q: Column) -> Column:
+        return let(F.instr(text, q), lambda at: F.when(
+            (F.length(q) >= 3) & (at > 0),
+            F.struct((at - 1).alias("char_start"), (at - 1 + F.length(q)).alias("char_end")),
+        ))
+
+    return let(wanted, found)
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
