@@ -63,8 +63,3 @@ def url_host(url: Column) -> Column:
 def url_file_name(url: Column) -> Column:
     path = F.regexp_replace(url, r"[?#].*$", "")
     return F.try_url_decode(F.element_at(F.split(path, "/"), -1))
-
-
-def us_date_label(day: Column) -> Column:
-    """'Jan 5, 2025', the printed form; days are calendar days, never shifted by a zone."""
-    return F.date_format(day, "MMM d, yyyy")
