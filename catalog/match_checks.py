@@ -562,9 +562,9 @@ pair AS (
 """
 
 
-def _copies(b):
+def _copies(b, docs=None):
     source = F.col("source")
-    return b.table("documents").select(
+    return (docs or b.table("documents")).select(
         F.col("doc_id").alias("id"),
         F.date_add(F.lit("2024-01-01").cast("date"), F.length(F.split_part("text", F.lit(" "), F.lit(1)))).alias("day"),
         source.isin("src0", "src1", "src2", "src3", "src4").alias("official"),
