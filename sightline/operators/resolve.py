@@ -99,7 +99,7 @@ def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
         F.slice(names.distinctive_tokens(F.col("name")), 1, 2).alias("tokens"),
     ).filter(F.size("tokens") > 0)
     recipients = award.select("recipient").distinct().withColumn("upper", F.upper("recipient"))
-    tokens = needed.select(F.col("tokens")[0].alias("token")).distinct()
+    tokens = needed.select(F.get("tokens", F.lit(0)).alias("token")).distinct()
     pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"))).alias("piece")).distinct()
     # tokens are letters and digits, so a token inside a recipient lies within one such run;
     # every occurrence starts one of the run's suffixes, which share its first four signs
@@ -111,7 +111,7 @@ def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
         .select("token", "recipient")
         .distinct()
     )
-    pairs = needed.withColumn("token", F.col("tokens")[0]).join(seen, "token")
+    pairs = needed.withColumn("token", F.get("tokens", F.lit(0))).join(seen, "token")
     upper = F.upper("recipient")
     matched = pairs.filter(F.forall("tokens", lambda t: F.contains(upper, t))).select("company_id", "recipient")
     return award.join(matched, "recipient")
