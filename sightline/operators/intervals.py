@@ -25,11 +25,18 @@ def window_join(
     before: int,
     after: int,
 ) -> DataFrame:
-    """Pairs with equal keys and right_day within [left_day - before, left_day + after]."""
+    """Pairs with equal keys and right_day within [left_day - before, left_day + after].
+
+    The left side is small and multiplies in the join, so it is spread over the configured
+    number of partitions by (keys, day); a fixed number keeps them from being merged for
+    their small size. Where the right side is broadcast, later windows over (keys, day) find
+    their rows already together.
+    """
     width = before + after + 1
+    spread_over = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = _bucket(F.date_sub(F.col(left_day), before), width)
     last = _bucket(F.date_add(F.col(left_day), after), width)
-    spread = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    spread = left.repartition(spread_over, *keys, left_day).withColumn("_bucket", F.explode(F.sequence(first, last)))
     tagged = right.withColumn("_bucket", _bucket(F.col(right_day), width))
     gap = F.datediff(F.col(right_day), F.col(left_day))
     return (

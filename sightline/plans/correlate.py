@@ -41,7 +41,9 @@ def scored_trades(trade, filing, company, person) -> DataFrame:
             "topic_set",
             F.col("date").alias("trade_date"),
             S.trade_side(F.col("type")).alias("side"),
-            F.coalesce("authority", F.lit(1.0)).alias("authority"),
+            # as text: floating-point keys are normalised by every join and window, which
+            # would undo the common partitioning; the text reads back as the same number
+            F.coalesce("authority", F.lit(1.0)).cast("string").alias("authority"),
             "band",
         )
     )
@@ -207,15 +209,16 @@ def score_profiles(direct, topical, *, weights=S.WEIGHTS) -> DataFrame:
     # One exchange on the profile serves the merge, the count, the ranking and the last join.
     merged = (
         both.repartition(*PROFILE)
-        .groupBy(*PROFILE, "kind", "event_id", "days_gap", "c_temporal")
+        .groupBy(*PROFILE, "kind", "event_id", "days_gap")
         .agg(
+            F.max("c_temporal").alias("c_temporal"),
             F.max("c_specificity").alias("c_specificity"),
             F.max_by("c_direction", "c_specificity").alias("c_direction"),
         )
     )
     counted = merged.withColumn(
         "c_corroboration", S.corroboration(F.count(F.lit(1)).over(Window.partitionBy(*PROFILE)))
-    ).withColumns({"c_authority": F.col("authority"), "c_magnitude": S.magnitude(F.col("band"))})
+    ).withColumns({"c_authority": F.col("authority").cast("double"), "c_magnitude": S.magnitude(F.col("band"))})
     values = {name: F.col(f"c_{name}") for name in weights}
     return counted.withColumn("signal", S.signal(values, weights))
 
