@@ -234,7 +234,7 @@ def pack(
     end_id: int = 2,
     most_open: int = 32,
     least_cut: int = 16,
-    fan_in: int = 64,
+    fan_in: int = 16,
     keep_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).

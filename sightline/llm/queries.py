@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pieces, token_counts
-from .common import table, vocabulary
+from . import packing, pieces, simhash, token_counts, warc
+from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +37,27 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and digest of a revisit are those of the response that it refers to."""
+    archives = fresh_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    captures = written(warc.assemble(warc.read_archives(spark, archives, with_block=False)), "captures")
+    resolved = warc.resolve(captures)
+    return resolved.select(
+        F.expr("try_cast(metadata.fields['page-id'] AS bigint)").alias("page_id"),
+        F.coalesce("origin.payload_bytes", "response.payload_bytes").alias("payload_bytes"),
+        F.coalesce("origin.payload_digest", "response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("origin.page_id").alias("refers_to"),
+    )
+
+
 @query
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
