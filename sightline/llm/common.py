@@ -47,11 +47,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def words(text: Column) -> Column:
     """Words of a text as an array without nulls or empty strings (null: none).
 
-    ASCII white space becomes a blank first: splitting at one literal character is many times
-    cheaper in the JVM than a pattern.
+    ASCII white space becomes a blank first: replacing and splitting at one literal character is
+    many times cheaper in the JVM than a pattern.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    plain = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
