@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, simhash, token_counts, warc
+from . import minhash, packing, pieces, quality, simhash, token_counts, warc
 from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,21 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    edited = minhash.with_edit(table(spark, folder, "documents"))
+    edited = minhash.with_fingerprint(edited, "edited", "edited_fingerprint")
+    return edited.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 @query
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
