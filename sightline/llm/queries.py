@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pieces, quality, simhash, token_counts, warc
+from . import minhash, packing, pieces, pii, quality, simhash, token_counts, urls, warc
 from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
@@ -88,3 +93,20 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@query
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    rank = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])
+
+    def joined(spans: Column) -> Column:
+        placed = F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("start"), rank[s.kind].alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
+        return F.array_join(F.transform(placed, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
+    )
