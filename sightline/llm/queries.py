@@ -106,7 +106,8 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         placed = F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("start"), rank[s.kind].alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
         return F.array_join(F.transform(placed, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
     )

@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 
 #: Words that mark unwanted hosts.
-SEEDS = ("adult", "bet", "casino", "cheap", "crack", "escort", "gamble", "loan", "lottery", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "win", "xxx")
+SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "crack", "escort", "gamble", "loan", "lottery", "pills", "poker", "porn", "sex", "spam", "torrent", "track", "tracker", "viagra", "warez", "win", "xxx")
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 #: Longest word of the segmentation; longer labels than names may have stay whole.
 MOST_WORD, MOST_LABEL = 24, 63
 
-#: Hashed token features: the model has two counts for each, whatever the input.
+#: Hashed token features: the model has two counts for each, whatever the input. SMOOTHING is added
+#: to the count of each feature that occurs.
 BUCKETS = 65_536
-SMOOTHING = 0.5
+SMOOTHING = 0.1
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -132,8 +133,9 @@ def log_odds(judged: DataFrame) -> tuple[float, np.ndarray]:
     tokens = np.zeros((2, BUCKETS))
     for r in judged.select("seeded", F.explode("buckets").alias("b")).groupBy("seeded", "b").count().collect():
         tokens[int(r["seeded"]), r["b"]] = r["count"]
-    share = np.log(tokens + SMOOTHING) - np.log(tokens.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
-    return float(np.log(n[1] + SMOOTHING) - np.log(n[0] + SMOOTHING)), share[1] - share[0]
+    seen = tokens.sum(0) > 0
+    share = np.log(tokens + SMOOTHING) - np.log(tokens.sum(1, keepdims=True) + SMOOTHING * max(1, seen.sum()))
+    return float(np.log(n[1] + SMOOTHING) - np.log(n[0] + SMOOTHING)), np.where(seen, share[1] - share[0], 0.0)
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
