@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pieces, pii, quality, simhash, token_counts, urls, warc
+from . import minhash, packing, pieces, pii, quality, simhash, suffixes, token_counts, urls, warc
 from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.measure(table(spark, folder, "documents"))
+
+
 @query
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
