@@ -147,6 +147,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     return joined.select(*measured.columns, fine.alias("kept"))
 
 
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns. Rows find their verdict by two
+    hashes of text, language and source, on which it depends alone, so keys may repeat or be null."""
+    mark = [F.xxhash64(text, lang, source), F.xxhash64(source, lang, text, F.lit(1))]
+    parts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), mark[0].alias("_m"), mark[1].alias("_o"))
+    good = judge(parts).where("kept").select("_m", "_o").distinct()
+    return docs.withColumns({"_m": mark[0], "_o": mark[1]}).join(good, ["_m", "_o"], "left_semi").select(*docs.columns)
+
+
 def _oracle() -> str:
     """The same in SQL, with exact quantiles (the sketch is exact up to ACCURACY documents)."""
     def rank(measure: str, share: float) -> str:

@@ -29,18 +29,26 @@ HALF = 32
 RADIUS = 4
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes (repeats included). A text of
-    fewer words is one shingle; one without words (or null) has fingerprint 0."""
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of `words` adjacent words, A-Z in lower case, joined by blanks; a text of fewer words is
+    one shingle, one without words (or null) has none."""
     found = text.encode().lower().split() if text else []
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     width = min(words, len(found))
-    shingles = [joined[a:b] for a, b in zip(starts[: len(found) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return [joined[a:b] for a, b in zip(starts[: len(found) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    found = shingles(text, words)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes, as a signed integer; 0 without hashes."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -48,6 +56,11 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """Of all shingles, repeats included. A text without words has fingerprint 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, bits bigint) per row, without a shuffle."""
 
@@ -138,3 +151,71 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     of_bits = roots.join(named, "root").select("bits", "component_id")
     hexed = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return marked.join(of_bits, "bits").select(F.col(key), hexed.alias("fingerprint"), "component_id")
+
+
+# -- groups by similarity of shingle sets, for cleaning
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _wide(hashes: np.ndarray) -> list[int]:
+    out = []
+    with np.errstate(over="ignore"):
+        for factor in FACTORS:
+            mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
+            out.append(majority(mixed ^ (mixed >> np.uint64(29))))
+    return out
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id): groups of texts whose sets of shingles have a Jaccard likeness of at least
+    `similarity`, or that are equal, by multi-index hashing of fingerprints of WIDE * 64 bits.
+
+    At a likeness of 0.8 two fingerprints differ in 15 of 100 bits, so no small bound on the complete
+    distance finds them; what is verified is the likeness itself. Each half word is a segment, both
+    sides enumerate its ball of radius one, and each text is tied to the least key in every ball it
+    shares, so a group of n gives some n candidates, not all pairs. Found are pairs of likeness 0.9
+    in 98 of 100 cases, 0.85 in 85 and 0.8 in 63, and more through other members of a group.
+    Texts without words are alike only if equal; rows with a null key are left alone.
+    """
+    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kind = narrow.schema[0].dataType.simpleString()
+
+    def batch(part: pa.RecordBatch) -> dict:
+        wide, empty = [], []
+        for t in part.column(1).to_pylist():
+            hashes = shingle_hashes(t, words)
+            wide.append(_wide(hashes))
+            empty.append(not len(hashes))
+        return {"_key": part.column(0), "copy": part.column(2), "wide": pa.array(wide, pa.list_(pa.int64())), "empty": empty}
+
+    with_copy = narrow.withColumn("_copy", F.md5("_text"))
+    marked = written(arrow_map(with_copy, batch, f"_key {kind}, copy string, wide array<bigint>, empty boolean"), "wide")
+    named = written(marked.groupBy("copy").agg(F.min("_key").alias("node"), F.first("wide").alias("wide"), F.first("empty").alias("empty")), "copies")
+
+    halves = F.flatten(F.transform("wide", lambda w: F.array(_upper(w), _lower(w))))
+    balls = F.transform(halves, lambda v, i: F.transform(_ball(v, HALF), lambda x: F.shiftleft(i.cast("bigint"), HALF) + x))
+    near = named.where("NOT empty").select("node", F.explode(F.flatten(balls)).alias("at"))
+    least = near.groupBy("at").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b < m").select("at", "b")
+    edges = near.join(least, "at").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    edges = written(edges, "candidates")
+
+    ends = edges.select(F.col("a").alias("_key")).union(edges.select(F.col("b").alias("_key"))).distinct()
+
+    def sets(part: pa.RecordBatch) -> dict:
+        found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
+        return {"node": part.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
+
+    members = narrow.join(ends, "_key", "left_semi").dropDuplicates(["_key"])
+    members = written(arrow_map(members, sets, f"node {kind}, shingles array<bigint>"), "shingles")
+    left = edges.join(members.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
+    both = left.join(members.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+    sizes = F.size("p") + F.size("q")
+    bound = F.least(F.size("p"), F.size("q")) >= similarity * F.greatest(F.size("p"), F.size("q"))
+    shared = F.size(F.array_intersect("p", "q"))
+    alike = written(both.where(bound).where(shared >= similarity * (sizes - shared)).select("a", "b"), "alike")
+    roots = components(alike).select(F.col("node"), "root")
+    groups = named.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(groups, "copy").select(F.col("_key").alias(key), "component_id")
