@@ -37,9 +37,12 @@ def _record_lines(b):
     line = (
         F.when(F.col("id") % 10 == 3, F.concat(F.lit("{broken "), "id"))
         .when(F.col("id") % 10 == 5, F.lit("   "))
+        .when(F.col("id") % 10 == 7, F.regexp_replace(record, r'("amount_m[a-z]+":)(\d+)', r"$1$2.0"))
+        .when(F.col("id") % 10 == 9, F.regexp_replace(record, r'("amount_m[a-z]+":)(\d+)', r'$1"$2"'))
         .otherwise(F.concat(F.lit("  "), record))
     )
-    return trade.select(line.alias("value"))
+    other = trade.select(F.lit("5").alias("value")).union(trade.select(F.lit("[1]")))
+    return trade.select(line.alias("value")).union(other)
 
 
 @check("scan_ndjson_quarantine", with_entities("""
@@ -392,7 +395,8 @@ def classify_type(b):
         F.when(key % 6 == 0, F.concat(kind, F.lit(" (Partial)"))).when(key % 6 == 1, bent)
         .when(key % 6 == 2, "zzz qqq").otherwise(kind)
     )
-    return b.trade.select("id", pages.classify_type(F.concat(F.lit("LOT "), cell)).alias("type"))
+    rows = b.trade.select("id", F.concat(F.lit("LOT "), cell).alias("cell"))
+    return pages.with_type(rows, pages.keyword_type(F.col("cell")), F.col("cell")).select("id", "type")
 
 
 @check("resolve_band", with_entities("""

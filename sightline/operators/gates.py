@@ -38,12 +38,14 @@ def trusted_statements(statement: DataFrame) -> DataFrame:
 def public_trades(trade: DataFrame, filing: DataFrame) -> DataFrame:
     """Trades of released filings, with the filer and filing facts the reads need.
 
-    The only fact-to-fact join of the read side; the gate is applied before the join.
+    The only fact-to-fact join of the read side; the gate is applied before the join. A trade's
+    own person, where it has one, comes before its filing's.
     """
     header = public_only(filing).select(
         F.col("id").alias("filing_id"),
-        "person_id",
+        F.col("person_id").alias("_filer"),
         "filing_date",
         F.col("source_url").alias("filing_url"),
     )
-    return trade.join(header, "filing_id")
+    own = [F.col("person_id")] if "person_id" in trade.columns else []
+    return trade.join(header, "filing_id").withColumn("person_id", F.coalesce(*own, "_filer")).drop("_filer")

@@ -114,13 +114,16 @@ def choose_extraction(first: DataFrame, alternative: DataFrame) -> DataFrame:
 def dedupe_filings(filing: DataFrame, preferred_domain: str) -> DataFrame:
     """Copies of a filing on other sites are superseded by the preferred site's copy.
 
-    A group is (filer, filing date, form). Groups are aggregated first and joined back, so
+    A group is (filer, filing date, form), where missing values are equal. Groups are aggregated first and joined back, so
     a very large group is never one window partition.
     """
     key = ["person_id", "filing_date", "form_type"]
     preferred = F.col("source_domain") == preferred_domain
     canonical = filing.filter(preferred).groupBy(*key).agg(F.min("id").alias("canonical"))
-    marked = filing.join(canonical, key, "left")
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    marked = filing.join(canonical.withColumnsRenamed({k: f"_{k}" for k in key}), same, "left")
     replaced = F.col("canonical").isNotNull() & ~preferred & (F.col("status") != "superseded")
     return marked.select(
         "id", *key, "source_domain",

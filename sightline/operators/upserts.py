@@ -50,12 +50,14 @@ def prune_stale(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_verdicts(corr: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Overlay reviewed pairs (id, genuine, reason) on correlations."""
+    """Overlay reviewed pairs (id, genuine, reason) on correlations; all others keep what they have."""
     given = verdicts.select("id", F.col("genuine").alias("_genuine"), F.col("reason").alias("_reason"), F.lit(True).alias("_given"))
     joined = corr.join(given, "id", "left")
-    return joined.withColumn(
-        "verified", F.when(F.col("_given"), F.col("_genuine")).otherwise(F.col("verified"))
-    ).withColumn("reason", F.col("_reason")).drop("_genuine", "_reason", "_given")
+    stored = F.col("reason") if "reason" in corr.columns else F.lit(None).cast("string")
+    return joined.withColumns({
+        "verified": F.when(F.col("_given"), F.col("_genuine")).otherwise(F.col("verified")),
+        "reason": F.when(F.col("_given"), F.col("_reason")).otherwise(stored),
+    }).drop("_genuine", "_reason", "_given")
 
 
 def verdict_candidates(corr, trade, company, statement, action, cut: int = 600) -> DataFrame:

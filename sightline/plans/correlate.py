@@ -153,8 +153,16 @@ def _linked_actions(action, target, key: str, name: str) -> DataFrame:
     )
 
 
-def first_of_class(events: DataFrame, key: str, keep: int) -> DataFrame:
-    """The first `keep` events by id of each (key, day, kind, impact) class."""
+def cut_is_exact(weights) -> bool:
+    """Whether an event of both tiers never scores less as a direct one, whatever its direction.
+    Only then may each tier be cut to its best events before the tiers meet."""
+    return (S.DIRECT - S.TOPICAL) * weights["specificity"] >= weights["direction"] - 1e-12
+
+
+def first_of_class(events: DataFrame, key: str, keep: int | None) -> DataFrame:
+    """The first `keep` events by id of each (key, day, kind, impact) class; None keeps all."""
+    if keep is None:
+        return events
     order = Window.partitionBy(key, "event_date", "kind", "impact").orderBy("event_id")
     return events.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
 
@@ -174,8 +182,8 @@ def day_candidates(days, by_company, by_set, before: int, after: int) -> DataFra
     )
 
 
-def leading_events(slots, events, key: str, keep: int, before: int, after: int, weights, tau):
-    """Per (key, day, side): every event that may rank among the best `keep` of a profile.
+def leading_events(slots, events, key: str, keep: int | None, before: int, after: int, weights, tau):
+    """Per (key, day, side): every event that may rank among the best `keep` of a profile (None: all).
 
     Within one tier only closeness and direction differ between the events of a slot. An
     event more than one rounding step behind the `keep`-th cannot reach it by rounding.
@@ -189,6 +197,8 @@ def leading_events(slots, events, key: str, keep: int, before: int, after: int,
         S.temporal(F.col("days_gap"), tau).alias("c_temporal"),
         S.direction(F.col("side"), F.col("impact")).alias("c_direction"),
     )
+    if keep is None:
+        return parts
     worth = weights["temporal"] * F.col("c_temporal") + weights["direction"] * F.col("c_direction")
     order = Window.partitionBy(*slot).orderBy(F.desc("_worth"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -240,8 +250,11 @@ def correlate(
     weights=S.WEIGHTS,
     tau=S.TAU_DAYS,
 ) -> DataFrame:
-    """Scored pairs at or above the threshold, the best `max_per_trade` of each trade."""
-    keep = max(max_per_trade, S.corroboration_saturation())
+    """Scored pairs at or above the threshold, the best `max_per_trade` of each trade.
+
+    Under weights for which cutting a tier would not be exact, all events go on to the merge.
+    """
+    keep = max(max_per_trade, S.corroboration_saturation()) if cut_is_exact(weights) else None
     events = (company, statement, mention, action, target)
     trades = scored_trades(trade, filing, company, person)
     # Read several times below, so written once; this also keeps the plans short.

@@ -3,18 +3,22 @@ NULL or quarantined, never an error that stops the job."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, fixed
-from ..functions.numeric import half_up, let
+from ..functions.numeric import half_up
 from ..functions.text import action_type_of_title, content_key, post_to_text, trimmed
 from ..operators.resolve import recipient_matches
 from ..operators.upserts import insert_if_new
 
 RECORD_SCHEMA = (
     "source string, date string, ticker string, description string, type string, "
-    "amount_min bigint, amount_max bigint"
+    "amount_min string, amount_max string"
 )
 POST_SCHEMA = "id string, created_at string, content string, url string, text string"
 DOCUMENT_PAGE_SCHEMA = (
@@ -28,25 +32,19 @@ AWARD_PAGE_SCHEMA = (
 # Where award rows of the reading side point to, and offsets above this are
 # milliseconds.
 AWARD_SITE, MILLISECONDS_FROM = "https://www.usaspending.gov", 100_000
-CORRUPT = "_corrupt"
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Text lines (value) to records and unreadable lines. Blank lines and records without
-    source or date vanish; a line that is no JSON is kept, cut to 80 signs."""
-    parsed = (
-        lines.select(trimmed(F.col("value")).alias("line"))
-        .filter(F.col("line") != "")
-        .withColumn(
-            "record",
-            F.from_json("line", f"{RECORD_SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
-        )
-    )
-    broken = F.col(f"record.{CORRUPT}").isNotNull()
-    bad = parsed.filter(broken).select(F.substring("line", 1, 80).alias("bad_line"))
-    good = parsed.filter(~broken).select("record.*").drop(CORRUPT)
+    source or date vanish, as does JSON that is no record; a line that is no JSON is kept whole.
+    Amounts may be printed as numbers or text; one that is neither is NULL."""
+    parsed = lines.select(trimmed(F.col("value")).alias("line")).filter(F.col("line") != "")
+    readable = F.try_parse_json("line").isNotNull()
+    bad = parsed.filter(~readable).select(F.col("line").alias("bad_line"))
+    good = parsed.filter(readable & F.startswith("line", F.lit("{"))).select(F.from_json("line", RECORD_SCHEMA).alias("record")).select("record.*")
+    amounts = {c: F.col(c).try_cast("decimal(38,6)").try_cast("bigint") for c in ("amount_min", "amount_max")}
     present = (F.coalesce("source", F.lit("")) != "") & (F.coalesce("date", F.lit("")) != "")
-    return good.filter(present), bad
+    return good.withColumns(amounts).filter(present), bad
 
 
 def scan_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -140,32 +138,36 @@ def flatten_view_entries(payload: DataFrame) -> DataFrame:
 
 # Keys that hold the content of a value, in order of preference.
 CONTENT_KEYS = ["text", "datetime", "textlist", "number"]
-NESTING = 6
-
-
-def flatten_values(json: Column) -> Column:
-    """All leaves of a JSON value in order. Objects contribute one of their content keys,
-    else all their values; levels are opened one after the other up to a fixed nesting."""
-    any_map = "map<string, string>"
-
-    def kind(v: Column) -> Column:
-        return F.substring(F.ltrim(v), 1, 1)
-
-    def open_one(v: Column) -> Column:
-        as_map = F.from_json(v, any_map)
-        chosen = F.coalesce(*[F.try_element_at(as_map, F.lit(k)) for k in CONTENT_KEYS])
-        values = F.map_values(as_map)
-        return (
-            F.when(kind(v) == "[", F.from_json(v, "array<string>"))
-            .when((kind(v) == "{") & chosen.isNotNull(), F.array(chosen))
-            .when(kind(v) == "{", values)
-            .otherwise(F.array(v))
-        )
 
-    level = F.array(json)
-    for _ in range(NESTING):
-        level = let(level, lambda items: F.flatten(F.transform(items, open_one)))
-    texts = F.transform(level, lambda v: trimmed(v))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _leaves(values: pd.Series) -> pd.Series:
+    """Leaves of JSON values at any depth; text that is no JSON is its own leaf."""
+
+    def opened(text: str | None) -> list[str]:
+        try:
+            waiting = [json.loads(text, parse_int=str, parse_float=str)]
+        except (TypeError, ValueError, RecursionError):
+            return [text] if text is not None else []
+        found: list[str] = []
+        while waiting:
+            value = waiting.pop()
+            if isinstance(value, dict):
+                chosen = next((value[k] for k in CONTENT_KEYS if value.get(k) is not None), None)
+                value = [chosen] if chosen is not None else list(value.values())
+            if isinstance(value, list):
+                waiting.extend(reversed(value))
+            elif value is not None:
+                found.append(str(value).lower() if isinstance(value, bool) else value)
+        return found
+
+    return values.map(opened)
+
+
+def flatten_values(json_text: Column) -> Column:
+    """All leaves of a JSON value in order, at any depth. Objects contribute one of their content
+    keys, else all their values."""
+    texts = F.transform(_leaves(json_text), lambda v: trimmed(v))
     return F.filter(texts, lambda v: v.isNotNull() & (v != ""))
 
 

@@ -69,7 +69,7 @@ def frames(spark, world):
     return trade, filing, company, person, statement, mention, action, target
 
 
-def by_hand(world, threshold, cap):
+def by_hand(world, threshold, cap, weights=WEIGHTS):
     trades, statements, mentions, actions, targets, people = world
     trusted = {
         s[0]: s for s in statements
@@ -115,7 +115,7 @@ def by_hand(world, threshold, cap):
             auth = authority[fid] if authority[fid] is not None else 1.0
             parts = [half_up(math.exp(-abs(gap) / 14), 1000), spec, auth, aligned, half_up(min(1, max(0, share)), 1000), bonus]
             total = 0.0
-            for w, p in zip(WEIGHTS, parts):  # plain additions; sum() compensates rounding
+            for w, p in zip(weights, parts):  # plain additions; sum() compensates rounding
                 total += w * p
             signal = math.floor(total * 1000 + 0.5) / 10
             if signal >= threshold:
@@ -132,6 +132,16 @@ def test_equals_loop(spark, world, threshold, cap):
     assert rows == by_hand(world, threshold, cap)
 
 
+@pytest.mark.parametrize("cap", [3, 25])
+def test_equals_loop_under_weights_that_favour_direction(spark, world, cap):
+    """A topical view may then outweigh a direct link, so no tier may be cut before they meet."""
+    weights = dict(S.WEIGHTS, specificity=0.05, direction=0.4)
+    assert not C.cut_is_exact(weights) and C.cut_is_exact(S.WEIGHTS)
+    got = C.correlate(*frames(spark, world), threshold=25, max_per_trade=cap, weights=weights)
+    rows = {(r.trade_id, r.kind, r.event_id, r.days_gap, r.signal) for r in got.collect()}
+    assert rows == by_hand(world, 25, cap, list(weights.values()))
+
+
 def test_invariants_and_rerun(spark, world):
     args = frames(spark, world)
     first = C.correlate(*args, max_per_trade=4)
