@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightline.functions import dates
 from sightline.functions import display as P
 from sightline.operators import quality as Q
 from sightline.operators import upserts as U
@@ -209,7 +210,8 @@ def verdict_candidates(b):
 
 
 @check("merge_profiles", with_entities("""
-SELECT c.id, c.ticker, 'https://' || lower(c.ticker) || '.example' AS website, p.p_name AS one_liner, p.p_type AS impact
+SELECT c.id, c.ticker, 'https://' || lower(c.ticker) || '.example' AS website, p.p_name AS one_liner, p.p_type AS impact,
+  CASE WHEN p.p_partkey IS NOT NULL THEN 'https://a.example/' || p.p_partkey || '|' || p.p_brand END AS impact_sources
 FROM company c LEFT JOIN part p ON p.p_partkey = c.id AND p.p_size > 20"""))
 def merge_profiles(b):
     site = F.concat(F.lit("https://"), F.lower("ticker"), F.lit(".example"))
@@ -217,9 +219,10 @@ def merge_profiles(b):
         {"website": site, "one_liner": F.lit(None).cast("string"), "impact": F.lit(None).cast("string")}
     )
     curated = b.table("part").filter(F.col("p_size") > 20).select(
-        F.concat(F.lit("S"), "p_partkey").alias("ticker"), F.col("p_name").alias("one_liner"), F.col("p_type").alias("impact")
+        F.concat(F.lit("S"), "p_partkey").alias("ticker"), F.col("p_name").alias("one_liner"), F.col("p_type").alias("impact"),
+        F.array(F.concat(F.lit("https://a.example/"), "p_partkey"), "p_brand").alias("impact_sources"),
     ).withColumn("website", site)
-    return U.merge_profiles(company, curated).select("id", "ticker", "website", "one_liner", "impact")
+    return U.merge_profiles(company, curated).select("id", "ticker", "website", "one_liner", "impact", "impact_sources")
 
 
 @check("insert_if_new", """
@@ -301,8 +304,8 @@ def dedupe_by_hash(b):
 @check("disclosure_lag", with_entities("""
 SELECT id, CASE WHEN filing_date >= date THEN date_diff('day', date, filing_date) END AS lag_days FROM public_trade"""))
 def disclosure_lag(b):
-    lag = F.datediff("filing_date", "date")
-    return public_trades(b.trade, b.filing).select("id", F.when(lag >= 0, lag).alias("lag_days"))
+    lag = dates.disclosure_lag(F.col("filing_date"), F.col("date"))
+    return public_trades(b.trade, b.filing).select("id", lag.alias("lag_days"))
 
 
 @check("presentation_columns", with_correlations("""

@@ -203,19 +203,18 @@ def transaction_correlations(b):
 @check("company_correlations", with_correlations("WITH" + EVENT_SQL.replace("{n}", "280") + "SELECT " + ", ".join(EVENT_COLUMNS) + """
 FROM shown WHERE ticker = 'S7'"""))
 def company_correlations(b):
-    rows = L.correlation_filter(_corr_view(b, L.PROFILE_SNIPPET), ticker="S7")
-    return rows.orderBy(F.desc("signal"), "id").select(*EVENT_COLUMNS)
+    return L.company_profile(_view(b), b.price, _corr_view(b, L.PROFILE_SNIPPET), "S7").correlations.select(*EVENT_COLUMNS)
 
 
 @check("company_trades", with_entities("WITH" + VIEW_SQL + VIEW_SELECT + "WHERE ticker = 'S7'"))
 def company_trades(b):
-    return _view(b).filter(F.col("ticker") == "S7").orderBy(F.desc("date"), "id").select(*VIEW_COLUMNS)
+    return L.company_profile(_view(b), b.price, _corr_view(b, L.PROFILE_SNIPPET), "S7").trades.select(*VIEW_COLUMNS)
 
 
 @check("company_prices", with_entities(
     "SELECT strftime(date, '%Y-%m-%d') AS date, close FROM price WHERE ticker = 'U7'"))
 def company_prices(b):
-    return b.price.filter(F.col("ticker") == "U7").orderBy("date").select("date", "close")
+    return L.company_profile(_view(b), b.price, _corr_view(b, L.PROFILE_SNIPPET), "U7").prices
 
 
 @check("company_universe", with_entities("""
@@ -282,6 +281,7 @@ def valid_ids(b):
 SELECT event_id, array_to_string([x FOR x IN [
     CASE WHEN type NOT IN ('Purchase', 'Sale', 'Sale (Partial)', 'Exchange') THEN 'type' END,
     CASE WHEN NOT regexp_full_match(date_from, '\d{4}-\d{2}-\d{2}') THEN 'dateFrom' END,
+    CASE WHEN event_id % 5 = 0 THEN 'dateTo' END,
     CASE WHEN NOT coalesce(band_min = floor(band_min) AND band_min BETWEEN 1 AND 10, false) THEN 'bandMin' END,
     CASE WHEN NOT coalesce(page_size BETWEEN 1 AND 200, false) THEN 'limit' END] IF x IS NOT NULL], '|') AS invalid
 FROM (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'Purchase' WHEN 'view' THEN 'Sale' ELSE event_type END AS type,
@@ -296,11 +296,34 @@ def validate_requests(b):
         .otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date_from"),
         (F.col("value") / 4).cast("string").alias("band_min"),
         (F.get_json_object("props", "$.k").cast("bigint") * 3).cast("string").alias("page_size"),
+        F.when(F.col("event_id") % 5 == 0, "today").alias("date_to"),
         *[F.lit(None).cast("string").alias(c) for c in ("search", "sort_by", "sort_order", "page")],
     )
     return L.request_problems(requests, L.trade_request_rules()).select("event_id", "invalid")
 
 
+@check("validate_event_requests", r"""
+SELECT event_id, array_to_string([x FOR x IN [CASE WHEN length(channel) > 4 THEN 'statements.channel' END, CASE WHEN event_type NOT IN ('view') THEN 'correlations.kind' END,
+    CASE WHEN NOT value BETWEEN 0 AND 100 THEN 'correlations.minScore' END, CASE WHEN event_id % 6 = 0 THEN 'actions.ticker' END] IF x IS NOT NULL], '|') AS invalid
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN repeat('c', 41) END AS channel FROM events)""")
+def validate_event_requests(b):
+    """Requests for statements, actions and correlations, each against its own rules."""
+    none = F.lit(None).cast("string")
+    base = {c: none for c in ("date_from", "date_to", "page", "page_size", "transaction_id", "ticker", "type", "channel")}
+    requests = b.table("events").select("event_id", "event_type", "value").withColumns(base)
+    channel = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("c"), 41))
+    said = L.request_problems(requests.withColumn("channel", channel), L.statement_request_rules())
+    acted = L.request_problems(requests.withColumn("ticker", F.when(F.col("event_id") % 6 == 0, "T" * 13)), L.action_request_rules())
+    kind = F.when(F.col("event_type") == "view", "statement").otherwise(F.col("event_type"))
+    paired = L.request_problems(requests.withColumns({"kind": kind, "min_score": F.col("value").cast("string")}), L.correlation_request_rules())
+    parts = [
+        frame.select("event_id", F.expr(f"transform(invalid, x -> concat('{name}.', x))").alias(name))
+        for name, frame in (("statements", said), ("correlations", paired), ("actions", acted))
+    ]
+    joined = parts[0].join(parts[1], "event_id").join(parts[2], "event_id")
+    return joined.select("event_id", F.concat("statements", "correlations", "actions").alias("invalid"))
+
+
 # --- aggregates ---------------------------------------------------------------------------
 
 

@@ -528,7 +528,7 @@ def _titled(b):
 @check("exclude_doc_classes", """
 SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 NOT IN (0, 1)""")
 def exclude_doc_classes(b):
-    return _titled(b).filter(~F.col("title").rlike(fixed.OTHER_FEED_TITLES)).select("id")
+    return _titled(b).filter(~text.other_feed_title(F.col("title"))).select("id")
 
 
 @check("single_speaker_docs", """

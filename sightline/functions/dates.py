@@ -63,3 +63,9 @@ def url_host(url: Column) -> Column:
 def url_file_name(url: Column) -> Column:
     path = F.regexp_replace(url, r"[?#].*$", "")
     return F.try_url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def disclosure_lag(filed: Column, traded: Column) -> Column:
+    """Days from a trade to its filing; NULL where the filing comes first."""
+    lag = F.datediff(filed, traded)
+    return F.when(lag >= 0, lag)

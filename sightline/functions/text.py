@@ -167,3 +167,8 @@ def selection_rule(title: Column, tier: Column, seconds: Column, subject: str) -
         .when(about & title.rlike(fixed.SPEECH_TERMS), "title: subject + speech term")
         .when((seconds >= 180) & named, "duration ≥ 3min + subject in title")
     )
+
+
+def other_feed_title(title: Column) -> Column:
+    """Titles of document classes that another feed delivers with better metadata."""
+    return F.coalesce(title, F.lit("")).rlike(fixed.OTHER_FEED_TITLES)

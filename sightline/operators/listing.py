@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,14 +274,63 @@ def _whole(column: str, low: int, high: int | None = None) -> Column:
 
 def trade_request_rules() -> dict[str, Column]:
     """Closed enums and ranges of the trade listing's parameters; text columns in."""
-    iso = r"^\d{4}-\d{2}-\d{2}$"
     return {
         "search": optional("search", F.length("search") <= 120),
         "type": optional("type", F.col("type").isin("Purchase", "Sale", "Sale (Partial)", "Exchange")),
-        "dateFrom": optional("date_from", F.col("date_from").rlike(iso)),
+        **_date_rules(),
         "bandMin": optional("band_min", _whole("band_min", 1, 10)),
         "sortBy": optional("sort_by", F.col("sort_by").isin("date", "amount", "description")),
         "order": optional("sort_order", F.col("sort_order").isin("asc", "desc")),
-        "page": optional("page", _whole("page", 1)),
-        "limit": optional("page_size", _whole("page_size", 1, MAX_LIMIT)),
+        **_page_rules(),
     }
+
+
+def _date_rules() -> dict[str, Column]:
+    iso = r"^\d{4}-\d{2}-\d{2}$"
+    return {name: optional(column, F.col(column).rlike(iso)) for name, column in (("dateFrom", "date_from"), ("dateTo", "date_to"))}
+
+
+def _page_rules() -> dict[str, Column]:
+    return {"page": optional("page", _whole("page", 1)), "limit": optional("page_size", _whole("page_size", 1, MAX_LIMIT))}
+
+
+def _at_most(column: str, size: int) -> Column:
+    return optional(column, F.length(column) <= size)
+
+
+def statement_request_rules() -> dict[str, Column]:
+    return {**_date_rules(), "channel": _at_most("channel", 40), "ticker": _at_most("ticker", 12), **_page_rules()}
+
+
+def action_request_rules() -> dict[str, Column]:
+    return {**_date_rules(), "type": _at_most("type", 40), "ticker": _at_most("ticker", 12), **_page_rules()}
+
+
+def correlation_request_rules() -> dict[str, Column]:
+    score = F.expr("try_cast(min_score as double)")
+    return {
+        "transactionId": optional("transaction_id", valid_uuid(F.col("transaction_id"))),
+        "ticker": _at_most("ticker", 12),
+        "kind": optional("kind", F.col("kind").isin("statement", "action")),
+        "minScore": optional("min_score", score.between(0, 100)),
+        **_page_rules(),
+    }
+
+
+class CompanyProfile(NamedTuple):
+    """What is shown of one company: its public trades, its prices, its correlations."""
+
+    trades: DataFrame
+    prices: DataFrame
+    correlations: DataFrame
+
+
+def company_profile(view: DataFrame, price: DataFrame, correlations: DataFrame, ticker: str) -> CompanyProfile:
+    """The profile by ticker, from the trade view, the price table and the correlation view (with
+    snippets of PROFILE_SNIPPET characters). Trades are newest first, prices oldest first, pairs
+    by score; an unknown ticker has empty parts. Each part filters before anything is joined."""
+    return CompanyProfile(
+        view.filter(F.col("ticker") == ticker).orderBy(F.desc("date"), "id"),
+        price.filter(F.col("ticker") == ticker).select("date", "close").orderBy("date"),
+        correlation_filter(correlations, ticker=ticker).orderBy(F.desc("signal"), "id"),
+    )

@@ -233,3 +233,13 @@ def apply_labels(mention, labels, statement, company, cap: int = 20) -> DataFram
         F.lit("llm").alias("method"), "label.sentiment", "label.stance",
     )
     return kept.unionByName(added)
+
+
+def redetect(stored: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Mentions after a new detection over `texts` (doc_id): rows of the gazetteer for these texts
+    are replaced by `found`, rows of other methods and of other texts stay. Columns are those of
+    `stored`; what `found` lacks is NULL."""
+    stale = F.col("method") == METHOD
+    again = texts.select("doc_id").distinct()
+    kept = stored.filter(~stale | stale.isNull()).unionByName(stored.filter(stale).join(again, "doc_id", "left_anti").select(*stored.columns))
+    return kept.unionByName(found.select(*[c for c in stored.columns if c in found.columns]), allowMissingColumns=True)

@@ -80,11 +80,13 @@ def verdict_candidates(corr, trade, company, statement, action, cut: int = 600)
 
 
 def merge_profiles(company: DataFrame, curated: DataFrame) -> DataFrame:
-    """Curated columns (ticker, website, one_liner, impact) over the company rows."""
-    extra = ["website", "one_liner", "impact"]
+    """Curated columns (ticker, website, one_liner, impact, and impact_sources where given) over
+    the company rows."""
+    extra = [c for c in ("website", "one_liner", "impact", "impact_sources") if c in curated.columns]
     given = curated.select("ticker", *[F.col(c).alias(f"_{c}") for c in extra], F.lit(True).alias("_given"))
     joined = company.join(given, "ticker", "left")
-    pick = {c: F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)) for c in extra}
+    before = {c: F.col(c) if c in company.columns else F.lit(None) for c in extra}
+    pick = {c: F.when(F.col("_given"), F.col(f"_{c}")).otherwise(before[c]) for c in extra}
     return joined.withColumns(pick).drop("_given", *[f"_{c}" for c in extra])
 
 

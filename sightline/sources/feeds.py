@@ -241,3 +241,9 @@ def gate_transcripts(assembled: DataFrame) -> DataFrame:
         F.when(trusted, F.col("min_confidence")).otherwise(0.5).alias("confidence"),
         F.when(~trusted, True).alias("needs_review"),
     )
+
+
+def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Fetched files below a folder as (path, content); the names keep their place in it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content")
