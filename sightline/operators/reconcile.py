@@ -42,11 +42,12 @@ def _record_keys(record: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _prefixes(key: str) -> Column:
-    """All beginnings of a normalised description that are long enough to count."""
-    return F.transform(
-        F.sequence(F.lit(MIN_DESCRIPTION), F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n)
-    )
+def _prefixes(key: str, others: DataFrame) -> Column:
+    """Beginnings of a normalised description that are as long as some description of `others`.
+    Only the lengths that occur come to the driver."""
+    sizes = sorted(r["size"] for r in others.select(F.length(key).alias("size")).where("size IS NOT NULL").distinct().collect())
+    wanted = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+    return F.transform(F.filter(wanted, lambda n: n <= F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))
 
 
 REC = ["date", "rec_min", "rec_max"]
@@ -77,11 +78,11 @@ def match_records(trade: DataFrame, company: DataFrame, record: DataFrame) -> Da
     our_texts = _first_trade(ours, "text")
     rec_texts = _record_keys(theirs, "text")
     # the record's text begins with ours, or ours begins with the record's: two equi-joins
-    ours_shorter = rec_texts.withColumn("part", F.explode(_prefixes("text"))).join(
+    ours_shorter = rec_texts.withColumn("part", F.explode(_prefixes("text", our_texts))).join(
         our_texts.withColumnRenamed("text", "part"), ["date", "part"]
     )
     ours_longer = rec_texts.withColumn("part", F.col("text")).join(
-        our_texts.withColumn("part", F.explode(_prefixes("text"))).drop("text"), ["date", "part"]
+        our_texts.withColumn("part", F.explode(_prefixes("text", rec_texts))).drop("text"), ["date", "part"]
     )
     by_text = (
         ours_shorter.select(*REC, "text", "our_min", "our_max", "trade_id")

@@ -84,15 +84,18 @@ def new_companies(resolved: DataFrame, company: DataFrame) -> DataFrame:
 def stamp_companies(resolved: DataFrame, company: DataFrame) -> DataFrame:
     """Resolved trades with a company id, existing or newly created."""
     known = company.select("id", "ticker").unionByName(new_companies(resolved, company).select("id", "ticker"))
-    return resolved.join(known.withColumnRenamed("id", "new_company_id"), "ticker", "left")
+    found = resolved.filter(F.col("ticker").isNotNull()).join(known.withColumnRenamed("id", "new_company_id"), "ticker", "left")
+    # unresolved trades would all share the key NULL; they go past the join
+    rest = resolved.filter(F.col("ticker").isNull())
+    return found.unionByName(rest.withColumn("new_company_id", F.lit(None).cast(found.schema["new_company_id"].dataType)))
 
 
 def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
     """Awards whose recipient carries the first two distinctive words of a company.
 
-    A needed word may be part of a longer word of the recipient. To stay an equi-join, the
-    distinct company words are looked up in the distinct recipient words' substrings of
-    their length, and only the pairs found that way are checked in full.
+    A needed word may be part of a longer word of the recipient. To stay an equi-join, each
+    recipient is expanded to its substrings of the lengths that company words have (a few dozen
+    at most); only the pairs found that way are checked in full.
     """
     needed = company.select(
         F.col("id").alias("company_id"),
@@ -100,28 +103,25 @@ def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
     ).filter(F.size("tokens") > 0)
     recipients = award.select("recipient").distinct().withColumn("upper", F.upper("recipient"))
     tokens = needed.select(F.get("tokens", F.lit(0)).alias("token")).distinct()
-    pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"))).alias("piece")).distinct()
-    # tokens are letters and digits, so a token inside a recipient lies within one such run;
-    # every occurrence starts one of the run's suffixes, which share its first four signs
-    head = F.substring("piece", 1, 4)
-    seen = (
-        tokens.withColumn("head", F.substring("token", 1, 4))
-        .join(pieces.withColumn("head", head), "head")
-        .filter(F.col("piece").startswith(F.col("token")))
-        .select("token", "recipient")
-        .distinct()
-    )
+    sizes = sorted(r["size"] for r in tokens.select(F.length("token").alias("size")).distinct().collect())
+    pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"), sizes)).alias("token"))
+    seen = tokens.join(pieces, "token")
     pairs = needed.withColumn("token", F.get("tokens", F.lit(0))).join(seen, "token")
     upper = F.upper("recipient")
     matched = pairs.filter(F.forall("tokens", lambda t: F.contains(upper, t))).select("company_id", "recipient")
     return award.join(matched, "recipient")
 
 
-def _pieces(upper):
-    """All suffixes of at least four signs of the letter-digit runs of a text."""
-    runs = F.regexp_extract_all(upper, F.lit("[A-Z0-9]{4,}"), F.lit(0))
+def _pieces(upper, sizes: list[int]):
+    """Distinct substrings of the given sizes of the letter-digit runs of a text. Company words are
+    letters and digits, so one inside a recipient lies within one such run."""
+    runs = F.regexp_extract_all(upper, F.lit("[A-Z0-9]+"), F.lit(0))
+    wanted = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
 
-    def suffixes(run):
-        return F.transform(F.sequence(F.lit(1), F.length(run) - 3), lambda at: F.substring(run, at, F.length(run)))
+    def of_run(run):
+        fitting = F.filter(wanted, lambda n: n <= F.length(run))
+        return F.flatten(F.transform(fitting, lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(run) - n + 1), lambda at: F.substring(run, at, n)
+        )))
 
-    return F.array_distinct(F.flatten(F.transform(runs, suffixes)))
+    return F.array_distinct(F.flatten(F.transform(runs, of_run)))
