@@ -38,7 +38,8 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the cluster names none (single-machine tests) a temporary one is made.
+    Only where the cluster names none (single-machine tests) a temporary one is made, once for
+    the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
@@ -48,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
