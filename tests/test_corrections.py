@@ -23,7 +23,7 @@ def test_a_trade_s_own_person_comes_first(rows):
     filing = rows("id long, person_id long, filing_date string, source_url string, status string", [(10, 6, "2024-01-01", "u", "parsed")])
     assert {r.id: r.person_id for r in gates.public_trades(trade, filing).collect()} == {1: 5, 2: 6}
     assert {r.src_id for r in graph.edges_traded(trade, filing).collect()} == {"5", "6"}
-    assert gates.public_trades(trade.drop("person_id"), filing).columns == ["id", "filing_id", "company_id", "filing_date", "filing_url", "person_id"]
+    assert gates.public_trades(trade.drop("person_id"), filing).columns == ["filing_id", "id", "company_id", "filing_date", "filing_url", "person_id"]
 
 
 def test_filings_without_filer_are_deduplicated(rows):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sightline.functions import bands, dates, documents, names, numeric, text
-from sightline.sources.pages import classify_type, closest_type
+from sightline.sources.pages import keyword_type, with_type
 
 
 def one(spark, col):
@@ -97,10 +97,10 @@ def test_dates(spark):
 
 
 def test_types(spark):
-    assert closest_type("ACME salo") == "Sale" and closest_type("12 $") is None and closest_type("zzz qqq") is None
-    got = [r.x for r in spark.createDataFrame([("x ourchaso",), ("Sale (Partial)",), ("x Excnange",), ("qq",)], "t string")
-           .select(classify_type(F.col("t")).alias("x")).collect()]
-    assert got == ["Purchase", "Sale (Partial)", "Exchange", "Unknown"]
+    texts = ["x ourchaso", "Sale (Partial)", "x Excnange", "qq", "ACME salo", "12 $", "zzz qqq", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = with_type(rows, keyword_type(F.col("t")), F.col("t")).orderBy("n").collect()
+    assert [r.type for r in got] == ["Purchase", "Sale (Partial)", "Exchange", "Unknown", "Sale", "Unknown", "Unknown", "Unknown"]
 
 
 def test_secrets_and_titles(spark):

@@ -144,10 +144,10 @@ def test_insert_and_requests(rows):
     assert [tuple(r) for r in upserts.insert_if_new(target, batch, ["k"], [F.asc("v")]).collect()] == [("b", 3)]
     c = upserts.insert_counts(target, batch, ["k"]).first()
     assert (c.inserted, c.skipped) == (1, 2)
-    req = rows("search string, type string, date_from string, band_min string, sort_by string, sort_order string, page string, page_size string",
-               [(None, "Sale", "2025-01-01", "3", None, "asc", "1", "200"), ("x" * 121, "Gift", "1/1/25", "2.5", "size", "up", "0", "abc")])
+    req = rows("search string, type string, date_from string, date_to string, band_min string, sort_by string, sort_order string, page string, page_size string",
+               [(None, "Sale", "2025-01-01", "2025-02-01", "3", None, "asc", "1", "200"), ("x" * 121, "Gift", "1/1/25", "soon", "2.5", "size", "up", "0", "abc")])
     got = [r.invalid for r in listing.request_problems(req, listing.trade_request_rules()).collect()]
-    assert got[0] == [] and got[1] == ["search", "type", "dateFrom", "bandMin", "sortBy", "order", "page", "limit"]
+    assert got[0] == [] and got[1] == ["search", "type", "dateFrom", "dateTo", "bandMin", "sortBy", "order", "page", "limit"]
 
 
 PAGE = """Form 278 Transactions
@@ -159,8 +159,9 @@ Gamma Inc Sale (Partial) 4.6.2025 No 0ver $50,000,000
 Page 2 of 9"""
 
 
-def test_page_rows():
-    got = pages.page_rows(PAGE, 2025)
+def test_page_rows(rows):
+    page = rows("filing string, page int, text string, filing_year int", [("f", 1, PAGE, 2025)])
+    got = pages.extract_rows(page).orderBy("row_number").collect()
     assert [(r["description"], r["type"], r["date"], r["late"], r["band"]) for r in got] == [
         ("ACME CORP DUE 12/01/42 ourchaso".replace(" ourchaso", ""), "Purchase", "2025-03-04", False, 1),
         ("Beta Holdings Salo", "Sale", "2025-03-05", True, 2),
