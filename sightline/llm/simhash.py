@@ -196,11 +196,19 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     named = written(marked.groupBy("copy").agg(F.min("_key").alias("node"), F.first("wide").alias("wide"), F.first("empty").alias("empty")), "copies")
 
     halves = F.flatten(F.transform("wide", lambda w: F.array(_upper(w), _lower(w))))
-    balls = F.transform(halves, lambda v, i: F.transform(_ball(v, HALF), lambda x: F.shiftleft(i.cast("bigint"), HALF) + x))
-    near = named.where("NOT empty").select("node", F.explode(F.flatten(balls)).alias("at"))
-    least = near.groupBy("at").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b < m").select("at", "b")
-    edges = near.join(least, "at").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    edges = written(edges, "candidates")
+    filled = named.where("NOT empty").select("node", F.posexplode(halves).alias("segment", "value"))
+    balls = F.transform(_ball(F.col("value"), HALF), lambda x, i: F.struct(
+        (F.shiftleft(F.col("segment").cast("bigint"), HALF) + x).alias("at"), (i - 1).cast("byte").alias("flip")
+    ))
+    # one exchange by ball serves both the least member and the members it is tied to
+    near = filled.select("node", F.explode(balls).alias("ball")).select("node", "ball.at", "ball.flip").repartition("at")
+    least = near.groupBy("at").agg(F.min(F.struct("node", "flip")).alias("b"), F.max("node").alias("m")).where("b.node < m").select("at", "b")
+    # members of equal segments share every ball of theirs: they are tied by the value itself
+    met = near.join(least, "at").where((F.col("node") != F.col("b.node")) & ((F.col("flip") != F.col("b.flip")) | (F.col("flip") < 0)))
+    edges = met.select(F.col("node").alias("a"), F.col("b.node").alias("b"))
+    same = filled.groupBy("segment", "value").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b < m").select("segment", "value", "b")
+    equal = filled.join(same, ["segment", "value"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    edges = written(edges.unionByName(equal).distinct(), "candidates")
 
     ends = edges.select(F.col("a").alias("_key")).union(edges.select(F.col("b").alias("_key"))).distinct()
 
