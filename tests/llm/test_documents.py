@@ -99,6 +99,35 @@ def test_similar_groups_join_copies_and_spare_others(spark):
     assert got[160] == got[161] == got[162] == 160
 
 
+def test_similar_groups_compare_all_members_of_a_ball(spark, monkeypatch):
+    """A template family: texts with the same first words and tails that differ, so that many are in
+    one ball and few are alike. The groups are those of all pairs in a ball, by brute force."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
+    template, texts = [word() for _ in range(160)], []
+    for tail in (4, 12, 24, 40):
+        for _ in range(30):
+            own = [*template, *(word() for _ in range(tail))]
+            texts.append(" ".join(own))
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(len(own))] = word()
+                texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    sets = [set(h.tolist()) for h in hashes]
+    segments = [[w >> at & (1 << 32) - 1 for w in simhash._wide(h) for at in (0, 32)] for h in hashes]
+    ball = lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(segments[a], segments[b], strict=True))
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for similarity, block, turns in ((0.8, 256, 2), (0.93, 7, 2), (0.97, 7, 0)):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        monkeypatch.setattr(simhash, "TURNS", turns, raising=False)
+        expected = roots(len(texts), lambda a, b: likeness(a, b) >= similarity and ball(a, b))
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, similarity=similarity).collect()}
+        assert len(set(expected)) > 1
+        assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_fingerprints_by_one_permutation(spark):
     texts = crowd(2, 60)
 
