@@ -21,11 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies the document with the least id; rows without an id stay."""
+    """Of each group of copies the document with the least id, and of several texts with that id the
+    one that names the group; rows without an id stay. Rows of one id are told apart by their texts:
+    those with different texts are dropped or kept each by its own group, and of rows equal in
+    id and text one is kept."""
     groups = simhash.similar_groups(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # the join has put the rows of an id together
-    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    first = groups.where("doc_id = component_id AND digest = component_digest").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    by = ["doc_id", "_digest"]
+    # the join has put the rows of an id and text together
+    kept = docs.where("doc_id IS NOT NULL").withColumn("_digest", simhash.digest_of("text")).join(first, by, "left_semi").dropDuplicates(by)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,11 @@ def _wide(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def digest_of(text: str) -> Column:
+    """What tells texts apart; null is the empty text."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 #: Texts of one segment value that meet the same number of another in a task.
 BLOCK = 256
 #: Rounds that tie each text to one of its segment value, before what is left is compared in full.
@@ -234,8 +239,10 @@ def _remaining(members: DataFrame, close: DataFrame, words_of: DataFrame, simila
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component_id): groups of texts whose sets of shingles have a Jaccard likeness of at least
-    `similarity`, or that are equal, by multi-index hashing of fingerprints of WIDE * 64 bits.
+    """(key, component_id, digest, component_digest) per row: groups of texts whose sets of shingles
+    have a Jaccard likeness of at least `similarity`, or that are equal, by multi-index hashing of
+    fingerprints of WIDE * 64 bits. A group is named by its least key and, as a key may be repeated
+    with other texts, the least digest (`digest_of`) with that key.
 
     At a likeness of 0.8 two fingerprints differ in 15 of 100 bits, so no small bound on the complete
     distance finds them; what is verified is the likeness itself. Each half word is a segment, both
@@ -247,7 +254,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     other members of a group.
     Texts without words are alike only if equal; rows with a null key are left alone.
     """
-    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("copy", F.md5("_text"))
+    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("copy", digest_of("_text"))
     kind = narrow.schema[0].dataType.simpleString()
 
     def batch(part: pa.RecordBatch) -> dict:
@@ -299,6 +306,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     grouped = named.select("copy", "node", "_key").join(labels, "node", "left").select("copy", "_key", F.coalesce("label", "node").alias("label"))
     grouped = written(grouped, "grouped")
-    least = grouped.groupBy("label").agg(F.min("_key").alias("component_id"))
-    groups = grouped.join(least, "label").select("copy", "component_id")
-    return marked.select("_key", "copy").join(groups, "copy").select(F.col("_key").alias(key), "component_id")
+    first = grouped.groupBy("label").agg(F.min(F.struct("_key", "copy")).alias("first"))
+    groups = grouped.join(first, "label").select("copy", "first")
+    of_rows = marked.select("_key", "copy").join(groups, "copy")
+    return of_rows.select(F.col("_key").alias(key), F.col("first._key").alias("component_id"), F.col("copy").alias("digest"), F.col("first.copy").alias("component_digest"))

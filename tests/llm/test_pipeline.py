@@ -35,3 +35,13 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).drop("sequence_id", "offset").collect())) == sorted(
         map(tuple, docs.drop("sequence_id", "offset").collect())
     )
+
+
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    """Ids that restart: one text of a repeated id is a copy of a smaller id, others are unique."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(80))
+    rows = [(1, "a"), (2, "b"), (2, "a"), (3, "c"), (3, "d"), (3, "e"), (4, "d"), (5, "a"), (3, "c"), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame([(i, text(name)) for i, name in rows], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    expected = [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (3, "e"), (None, "a"), (None, "a")]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), text(name)) for i, name in expected)
