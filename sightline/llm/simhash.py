@@ -214,18 +214,23 @@ def _remaining(members: DataFrame, close: DataFrame, words_of: DataFrame, simila
     """(a, b): all pairs of different labels in equal or close values, each once, at the first segment
     in which they are. Members of a value are dealt over blocks, and each two blocks meet by a key of
     their own, so the rows of no value or ball come together in a task."""
-    counts = members.groupBy("val").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counts = written(counts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "counts")
-    side = lambda v: counts.select(F.col("val").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("blocks", "lo", "hi")])
-    alone = counts.where("lo < hi").select(F.col("val").alias("v"), F.col("val").alias("w"), F.col("blocks").alias("blocks_v"), F.col("blocks").alias("blocks_w"))
-    pairs = close.join(side("v"), "v").join(side("w"), "w").where("least(lo_v, lo_w) < greatest(hi_v, hi_w)")
-    pairs = alone.unionByName(pairs.select("v", "w", "blocks_v", "blocks_w"))
-    pairs = pairs.select("v", "w", F.explode(F.sequence(F.lit(0), F.col("blocks_v") - 1)).alias("i"), "blocks_w")
-    pairs = pairs.select("v", "w", "i", F.explode(F.sequence(F.when(F.col("v") == F.col("w"), F.col("i")).otherwise(0), F.col("blocks_w") - 1)).alias("j"))
+    counts = members.groupBy("val", "label").agg(F.count("*").alias("n")).groupBy("val").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = counts.select("val", "lo", "hi", F.col("main.label").alias("main"), of(F.col("main.n")).alias("mains"), of(F.col("n") - F.col("main.n")).alias("rest"))
+    counts = written(counts, "counts")
+    side = lambda v: counts.select(F.col("val").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("lo", "hi", "main", "mains", "rest")])
+    alone = side("v").where("lo_v < hi_v").withColumns({"w": F.col("v"), **{f"{c}_w": F.col(f"{c}_v") for c in ("lo", "hi", "main", "mains", "rest")}})
+    pairs = alone.unionByName(close.join(side("v"), "v").join(side("w"), "w").where("least(lo_v, lo_w) < greatest(hi_v, hi_w)"))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("mains_v + rest_v - 1"))))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.expr("IF(v = w, i, 0)"), F.expr("mains_w + rest_w - 1"))))
+    # blocks of the label that most members have are not compared with each other
+    pairs = pairs.where("NOT (main_v = main_w AND i < mains_v AND j < mains_w)").select("v", "w", "i", "j")
     pairs = written(pairs, "blocks")
     used = pairs.select(F.col("v").alias("val")).union(pairs.select(F.col("w").alias("val"))).distinct()
-    dealt = members.join(counts.select("val", "blocks").join(used, "val", "left_semi"), "val").join(words_of, "node")
-    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks"), "dealt")
+    dealt = members.join(counts.select("val", "main", "mains", "rest").join(used, "val", "left_semi"), "val").join(words_of, "node")
+    dealt = written(dealt.withColumn("block", F.expr("CAST(IF(label = main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), rest)) AS int)")).drop("main", "mains", "rest"), "dealt")
     has = F.struct("node", "label", "size", "wide")
     p = pairs.join(dealt.select(F.col("val").alias("v"), F.col("block").alias("i"), has.alias("p")), ["v", "i"])
     q = pairs.join(dealt.select(F.col("val").alias("w"), F.col("block").alias("j"), has.alias("q")), ["w", "j"])
