@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pieces, pii, quality, simhash, suffixes, token_counts, urls, warc
+from . import audit, minhash, packing, pieces, pii, quality, simhash, suffixes, token_counts, urls, warc
 from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,7 @@ ORACLES: dict[str, str] = {
         FROM p LEFT JOIN f USING (payload_digest)
     """,
     "op9_quality": quality.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
 
 
@@ -116,3 +117,9 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")
     )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a null doc_id never repeat another; null texts and sources are empty strings."""
+    return audit.interactions(audit.flag_counts(table(spark, folder, "documents"), table(spark, folder, "labels")))
