@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, minhash, overlap, packing, pieces, pii, quality, simhash, suffixes, token_counts, urls, warc
+from . import alignment, audit, minhash, overlap, packing, pieces, pii, quality, simhash, suffixes, token_counts, urls, warc
 from .common import fresh_folder, table, vocabulary, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,12 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Null, empty and unfaithfully encoded texts are as in `alignment.align`."""
+    return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Rows without words or with a null key are as in `overlap.near_duplicates`."""
