@@ -14,6 +14,7 @@ of them and join what is alike; only members that are then still in different co
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ WORDS = 5
 SIMILARITY = 0.85
 
 #: Values of a sketch.
-WIDTH = 256
+WIDTH = 192
 
 #: Standard deviations below its mean up to which the number of shared values counts: a pair of the
 #: least likeness that has too few shared values for the lists occurs once in about 10^8 such pairs,
@@ -112,10 +113,11 @@ def least_shared(size: Column, similarity: float, width: int) -> Column:
 
 
 def lists(sets: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(token, node, size, own, place, near): the entries of the inverted lists. The `own` values of a
-    sketch are ordered by the number of sets that retain them; `place` is that of the entry. `near`
-    tells whether the entry serves where this set is the smaller one of a pair: both sets whole, the
-    smaller one shares 2s / (1 + s) of its values and needs a shorter prefix.
+    """(token, before, node, size, own, place, near): the entries of the inverted lists. The `own`
+    values of a sketch are ordered by the number of sets that retain them; `place` is that of the
+    entry, `before` the value before it if that is in a list too. `near` tells whether the entry
+    serves where this set is the smaller one of a pair: both sets whole, the smaller one shares
+    2s / (1 + s) of its values and needs a shorter prefix.
     """
     rows = sets.select("node", F.explode("sketch").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -125,20 +127,24 @@ def lists(sets: DataFrame, similarity: float, width: int) -> DataFrame:
     placed = placed.withColumn("need", least_shared(F.col("size"), similarity, width)).withColumn("short", F.col("own") - short.cast("int") + 1)
     # values of one set alone come first and are in no list
     placed = placed.withColumn("alone", F.col("own") - F.size("rest")).withColumn("long", F.col("own") - F.col("need") + 1).where("long > alone")
-    entries = placed.select("node", "size", "own", "alone", "short", F.posexplode(F.slice("rest", 1, F.col("long") - F.col("alone"))).alias("i", "entry"))
+    first = F.slice("rest", 1, F.col("long") - F.col("alone"))
+    linked = F.transform(first, lambda x, i: F.struct(x.token.alias("token"), F.when(i > 0, F.get(F.col("rest"), i - 1).token).alias("before")))
+    entries = placed.select("node", "size", "own", "alone", "short", F.posexplode(linked).alias("i", "entry"))
     place = F.col("alone") + F.col("i")
-    return entries.select(F.col("entry.token").alias("token"), "node", "size", "own", place.alias("place"), (place < F.col("short")).alias("near"))
+    return entries.select("entry.token", "entry.before", "node", "size", "own", place.alias("place"), (place < F.col("short")).alias("near"))
 
 
 def _can_be_alike(p: str, q: str, similarity: float, width: int) -> Column:
     """Of two entries of a token: whether the sizes, and the values from there on, leave room for it.
     What comes before the first shared value is not shared."""
-    sizes = F.least(f"{p}.size", f"{q}.size") >= similarity * F.greatest(f"{p}.size", f"{q}.size")
+    small, large = F.least(f"{p}.size", f"{q}.size"), F.greatest(f"{p}.size", f"{q}.size")
     rest = F.least(F.col(f"{p}.own") - F.col(f"{p}.place"), F.col(f"{q}.own") - F.col(f"{q}.place"))
-    both_whole = F.greatest(f"{p}.size", f"{q}.size") <= width
-    whole = rest >= similarity / (1 + similarity) * (F.col(f"{p}.size") + F.col(f"{q}.size")) - 1e-9
-    cut = rest >= F.greatest(least_shared(F.col(f"{p}.size"), similarity, width), least_shared(F.col(f"{q}.size"), similarity, width))
-    return sizes & F.when(both_whole, whole).otherwise(cut)
+    whole = rest >= similarity / (1 + similarity) * (small + large) - 1e-9
+    # retained by both are the common values up to the last one that the larger set retains
+    share = similarity / (1 + similarity) * (1 + small / large)
+    drawn = F.floor(width * share - DEVIATIONS * F.sqrt(width * share * (1 - share)))
+    cut = rest >= F.greatest(least_shared(small, similarity, width), least_shared(large, similarity, width), F.when(small >= width, drawn).otherwise(0))
+    return (small >= similarity * large) & F.when(large <= width, whole).otherwise(cut)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -146,10 +152,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def tied(members: DataFrame, turn: int, similarity: float, width: int) -> DataFrame:
-    """(a, b): each member of a list and the list's head, where they have different labels. Another
-    turn has other heads."""
+    """(a, b): each member of a list and the list's head, where they have different labels. In the
+    first turn lists with the same members have the same head, in others each its own."""
     entry = F.struct("node", "label", "size", "own", "place")
-    heads = members.groupBy("token").agg(F.min_by(entry, F.xxhash64("node", F.lit(turn))).alias("q"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    order = F.xxhash64("node", "token", F.lit(turn)) if turn else F.xxhash64("node")
+    heads = members.groupBy("token").agg(F.min_by(entry, order).alias("q"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     own = members.select("token", entry.alias("p")).join(heads.where("lo < hi").select("token", "q"), "token")
     return _ordered(own.where("p.label <> q.label").where(_can_be_alike("p", "q", similarity, width)))
 
@@ -159,8 +166,10 @@ def crossing(members: DataFrame, similarity: float, width: int) -> DataFrame:
     mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     members = written(members.join(mixed, "token", "left_semi"), "mixed")
     p, q = members.alias("p"), members.alias("q")
+    # a pair that shares the value before has met there
+    fresh = ~F.coalesce(F.col("p.before") == F.col("q.before"), F.lit(False))
     smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.node") < F.col("q.node")))
-    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & (F.col("p.label") != F.col("q.label")) & _can_be_alike("p", "q", similarity, width))
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & fresh & (F.col("p.label") != F.col("q.label")) & _can_be_alike("p", "q", similarity, width))
     return _ordered(met)
 
 
@@ -196,6 +205,50 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: in
     return arrow_map(texts, batch, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
+def alike(pairs: DataFrame, sets: DataFrame, full: Callable[[DataFrame], DataFrame], similarity: float, width: int) -> DataFrame:
+    """The `pairs` (a, b) that are at least as like as `similarity`. `full` gives (node, hashes) for
+    nodes (node) whose sets are needed in full."""
+    likely = written(estimated(pairs, sets, similarity, width), "likely")
+    unsure = likely.where("NOT sure")
+    wanted = unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))).distinct()
+    hashes = written(full(wanted), "full")
+    both = unsure.join(hashes.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(hashes.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
+    shared = F.size(F.array_intersect("p", "q"))
+    verified = both.where(100 * shared >= round(100 * similarity) * (F.size("p") + F.size("q") - shared)).select("a", "b")
+    return likely.where("sure").select("a", "b").unionByName(verified)
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label) after the links `found` (a, b) have joined labels."""
+    ends = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+    roots = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
+    return written(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def linked(
+    sets: DataFrame, labels: DataFrame | None, full: Callable[[DataFrame], DataFrame], similarity: float, width: int, tried: DataFrame | None = None
+) -> DataFrame:
+    """(node, label) of the nodes of `sets` (node, size, sketch) that are in lists: components over all
+    pairs at least as like as `similarity`. `labels` may join some nodes from the start; pairs in
+    `tried` (a, b; a > b) are known and left out."""
+    entries = written(lists(sets, similarity, width), "entries")
+    several = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    entries = written(entries.join(several, "token", "left_semi"), "lists")
+    nodes = entries.select("node").distinct()
+    if labels is None:
+        labels = nodes.withColumn("label", F.col("node"))
+    else:
+        labels = labels.unionByName(nodes.join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    labels = written(labels, "labels")
+    for turn in range(TURNS + 1):
+        members = entries.join(labels, "node")
+        pairs = tied(members, turn, similarity, width) if turn < TURNS else crossing(members, similarity, width)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        labels = merged(labels, alike(pairs, sets, full, similarity, width))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    return labels
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, width: int = WIDTH
 ) -> DataFrame:
@@ -210,29 +263,7 @@ def near_duplicates(
     marked = written(sketched(docs, key, text, words, width), "sketched")
     named = marked.where("size > 0").groupBy("same").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sets = written(named.withColumn("node", F.monotonically_increasing_id()), "sets")
-    entries = lists(sets, similarity, width)
-    entries = written(entries, "entries")
-    several = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    entries = written(entries.join(several, "token", "left_semi"), "lists")
-
-    labels = written(entries.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    tried = None
-    for turn in range(TURNS + 1):
-        members = entries.join(labels, "node")
-        pairs = tied(members, turn, similarity, width) if turn < TURNS else crossing(members, similarity, width)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        likely = written(estimated(pairs, sets, similarity, width), "likely")
-        unsure = likely.where("NOT sure")
-        wanted = unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))).distinct()
-        full = written(full_sets(docs, sets.join(wanted, "node", "left_semi").select("node", "row", "same"), key, text, words), "full")
-        both = unsure.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("p")), "a").join(full.select(F.col("node").alias("b"), F.col("hashes").alias("q")), "b")
-        shared = F.size(F.array_intersect("p", "q"))
-        alike = both.where(100 * shared >= round(100 * similarity) * (F.size("p") + F.size("q") - shared)).select("a", "b")
-        found = likely.where("sure").select("a", "b").unionByName(alike)
-        found = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-        roots = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
-        labels = written(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    labels = linked(sets, None, lambda wanted: full_sets(docs, sets.join(wanted, "node", "left_semi").select("node", "row", "same"), key, text, words), similarity, width)
 
     grouped = written(sets.select("node", "same", "least").join(labels, "node", "left").select("same", "least", F.coalesce("label", "node").alias("label")), "grouped")
     first = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
