@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import arrow_map, written
 from .components import components
 
@@ -174,12 +175,6 @@ def digest_of(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
-#: Texts of one segment value that meet the same number of another in a task.
-BLOCK = 256
-#: Rounds that tie each text to one of its segment value, before what is left is compared in full.
-TURNS = 2
-
-
 def _close(held: DataFrame) -> DataFrame:
     """(v, w): values of `val` one or two bits apart, v < w, each pair once. A ball has 33 values at most."""
     near = held.select("val").distinct().select("val", F.explode(_ball(F.col("val"), HALF)).alias("at")).repartition("at")
@@ -196,46 +191,20 @@ def _likely(p: str, q: str, similarity: float) -> Column:
     return F.least(p, q) >= similarity * F.greatest(p, q)
 
 
-def _stars(members: DataFrame, close: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): each member of a value tied to its head, and the heads of close values, if they have
-    different labels. Another turn has other heads."""
-    order = F.xxhash64("node", F.lit(turn))
-    heads = members.groupBy("val").agg(F.min_by(F.struct("node", "label", "size"), order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    heads = written(heads, "heads")
-    own = members.join(heads.where("lo < hi").select("val", "h"), "val").where("label <> h.label")
+def _stars(members: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each member of a value tied to its head, and the heads of close values."""
+    order = F.xxhash64("node")
+    heads = written(members.groupBy("val").agg(F.min_by(F.struct("node", "size"), order).alias("h")), "heads")
+    own = members.join(heads, "val").where("node <> h.node")
     own = own.where(_likely("size", "h.size", similarity)).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
     across = close.join(heads.select(F.col("val").alias("v"), F.col("h").alias("p")), "v").join(heads.select(F.col("val").alias("w"), F.col("h").alias("q")), "w")
-    across = across.where("p.label <> q.label").where(_likely("p.size", "q.size", similarity)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    across = across.where("p.node <> q.node").where(_likely("p.size", "q.size", similarity)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     both = own.unionByName(across)
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _remaining(members: DataFrame, close: DataFrame, words_of: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of different labels in equal or close values, each once, at the first segment
-    in which they are. Members of a value are dealt over blocks, and each two blocks meet by a key of
-    their own, so the rows of no value or ball come together in a task."""
-    counts = members.groupBy("val").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counts = written(counts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "counts")
-    side = lambda v: counts.select(F.col("val").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("blocks", "lo", "hi")])
-    alone = counts.where("lo < hi").select(F.col("val").alias("v"), F.col("val").alias("w"), F.col("blocks").alias("blocks_v"), F.col("blocks").alias("blocks_w"))
-    pairs = close.join(side("v"), "v").join(side("w"), "w").where("least(lo_v, lo_w) < greatest(hi_v, hi_w)")
-    pairs = alone.unionByName(pairs.select("v", "w", "blocks_v", "blocks_w"))
-    pairs = pairs.select("v", "w", F.explode(F.sequence(F.lit(0), F.col("blocks_v") - 1)).alias("i"), "blocks_w")
-    pairs = pairs.select("v", "w", "i", F.explode(F.sequence(F.when(F.col("v") == F.col("w"), F.col("i")).otherwise(0), F.col("blocks_w") - 1)).alias("j"))
-    pairs = written(pairs, "blocks")
-    used = pairs.select(F.col("v").alias("val")).union(pairs.select(F.col("w").alias("val"))).distinct()
-    dealt = members.join(counts.select("val", "blocks").join(used, "val", "left_semi"), "val").join(words_of, "node")
-    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks"), "dealt")
-    has = F.struct("node", "label", "size", "wide")
-    p = pairs.join(dealt.select(F.col("val").alias("v"), F.col("block").alias("i"), has.alias("p")), ["v", "i"])
-    q = pairs.join(dealt.select(F.col("val").alias("w"), F.col("block").alias("j"), has.alias("q")), ["w", "j"])
-    first = F.lit(None).cast("int")
-    for k in reversed(range(WIDE)):
-        apart = F.col("p.wide")[k].bitwiseXOR(F.col("q.wide")[k])
-        first = F.when(F.bit_count(_upper(apart)) <= 2, 2 * k).when(F.bit_count(_lower(apart)) <= 2, 2 * k + 1).otherwise(first)
-    met = p.join(q, ["v", "w", "i", "j"]).where("p.label <> q.label AND (v <> w OR i <> j OR p.node < q.node)")
-    met = met.where(_likely("p.size", "q.size", similarity)).where(F.shiftright("v", HALF) == first)
-    return met.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
+#: Values of the sketches that look for what the balls miss.
+WIDTH = 128
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -244,65 +213,58 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     fingerprints of WIDE * 64 bits. A group is named by its least key and, as a key may be repeated
     with other texts, the least digest (`digest_of`) with that key.
 
-    At a likeness of 0.8 two fingerprints differ in 15 of 100 bits, so no small bound on the complete
-    distance finds them; what is verified is the likeness itself. Each half word is a segment, both
-    sides enumerate its ball of radius one, and every two texts that share a ball are in one group if
-    they are alike. TURNS rounds of ties to one text of each segment value come first, so a group of
-    n copies costs some n candidates; then all pairs of a ball that are still in different groups
-    are compared, which is as many as the square of a family of texts that are not alike.
-    Found are pairs of likeness 0.9 in 98 of 100 cases, 0.85 in 85 and 0.8 in 63, and more through
-    other members of a group.
+    Each half word is a segment, both sides enumerate its ball of radius one, and every text is tied
+    to one text of its segment value, those to each other where their values are close. What is
+    alike is one group from then on, so a group of n copies costs some n candidates.
+
+    At a likeness of 0.8 two fingerprints differ in 15 of 100 bits, so no small ball finds every such
+    pair. The exact rest is a similarity join of what is not yet in one group: on sketches of the
+    shingle sets, the rarest values first, with length and position filters (`overlap.linked`), so
+    that texts of one template meet only if they can be alike. Every link is verified on the full
+    sets; a pair is missed once in about 10^8.
     Texts without words are alike only if equal; rows with a null key are left alone.
     """
     narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("copy", digest_of("_text"))
     kind = narrow.schema[0].dataType.simpleString()
 
     def batch(part: pa.RecordBatch) -> dict:
-        wide, size = [], []
+        wide, size, sketch = [], [], []
         for t in part.column(1).to_pylist():
             hashes = shingle_hashes(t, words)
             wide.append(_wide(hashes))
-            size.append(len(np.unique(hashes)))
-        return {"_key": part.column(0), "copy": part.column(2), "wide": pa.array(wide, pa.list_(pa.int64())), "size": pa.array(size, pa.int32())}
-
-    marked = written(arrow_map(narrow, batch, f"_key {kind}, copy string, wide array<bigint>, size int"), "wide")
-    named = marked.groupBy("copy").agg(F.min("_key").alias("_key"), F.first("wide").alias("wide"), F.first("size").alias("size"))
+            hashes = np.unique(hashes)
+            size.append(len(hashes))
+            sketch.append(overlap.retained(hashes, WIDTH))
+        longs = pa.list_(pa.int64())
+        return {"_key": part.column(0), "copy": part.column(2), "wide": pa.array(wide, longs), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, longs)}
+
+    marked = written(arrow_map(narrow, batch, f"_key {kind}, copy string, wide array<bigint>, size bigint, sketch array<bigint>"), "wide")
+    named = marked.groupBy("copy").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("wide", "size", "sketch")])
     named = written(named.withColumn("node", F.monotonically_increasing_id()), "copies")
+    sets = named.where("size > 0").select("node", "size", "sketch")
 
     halves = F.flatten(F.transform("wide", lambda w: F.array(_upper(w), _lower(w))))
     values = F.transform(halves, lambda v, i: F.shiftleft(i.cast("bigint"), HALF) + v)
     held = written(named.where("size > 0").select("node", "size", F.explode(values).alias("val")), "segments")
     close = written(_close(held), "close")
-
     # texts that share a ball with another
     several = held.groupBy("val").agg(F.count("*").alias("n")).where("n > 1").select("val")
     several = several.union(close.select("v")).union(close.select("w")).distinct()
     held = written(held.join(several, "val", "left_semi"), "shared")
 
-    def sets(part: pa.RecordBatch) -> dict:
+    def cut(part: pa.RecordBatch) -> dict:
         found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
-        return {"node": part.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
-
-    ends = named.join(held.select("node").distinct(), "node", "left_semi").select("_key", "copy", "node")
-    texts = narrow.join(ends, ["_key", "copy"]).dropDuplicates(["_key", "copy"]).select("node", "_text")
-    shingled = written(arrow_map(texts, sets, "node bigint, shingles array<bigint>"), "shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(shingled.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
-        both = left.join(shingled.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
-        shared = F.size(F.array_intersect("p", "q"))
-        return both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select("a", "b")
-
-    labels, tried = held.select("node").distinct().withColumn("label", F.col("node")), None
-    labels = written(labels, "labels")
-    for turn in range(TURNS + 1):
-        members = held.join(labels, "node")
-        pairs = _stars(members, close, turn, similarity) if turn < TURNS else _remaining(members, close, named.select("node", "wide"), similarity)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        found = alike(pairs).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-        roots = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
-        labels = written(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        return {"node": part.column(0), "hashes": pa.array(found, pa.list_(pa.int64()))}
+
+    def full(wanted: DataFrame) -> DataFrame:
+        ends = named.join(wanted, "node", "left_semi").select("_key", "copy", "node")
+        texts = narrow.join(ends, ["_key", "copy"]).dropDuplicates(["_key", "copy"]).select("node", "_text")
+        return arrow_map(texts, cut, "node bigint, hashes array<bigint>")
+
+    pairs = written(_stars(held, close, similarity), "stars")
+    labels = held.select("node").distinct().withColumn("label", F.col("node"))
+    labels = overlap.merged(written(labels, "labels"), overlap.alike(pairs, sets, full, similarity, WIDTH))
+    labels = overlap.linked(sets, labels, full, similarity, WIDTH, pairs)
 
     grouped = named.select("copy", "node", "_key").join(labels, "node", "left").select("copy", "_key", F.coalesce("label", "node").alias("label"))
     grouped = written(grouped, "grouped")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.llm import minhash, pii, quality, simhash
+from sightline.llm import minhash, overlap, pii, quality, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,35 +99,70 @@ def test_similar_groups_join_copies_and_spare_others(spark):
     assert got[160] == got[161] == got[162] == 160
 
 
-def test_similar_groups_compare_all_members_of_a_ball(spark, monkeypatch):
-    """A template family: texts with the same first words and tails that differ, so that many are in
-    one ball and few are alike. The groups are those of all pairs in a ball, by brute force."""
-    rnd = random.Random(17)
+def family(seed, tails=(4, 12, 24, 40), each=30):
+    """Texts on one template with tails of their own and some edits: many are nearly alike."""
+    rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
     template, texts = [word() for _ in range(160)], []
-    for tail in (4, 12, 24, 40):
-        for _ in range(30):
+    for tail in tails:
+        for _ in range(each):
             own = [*template, *(word() for _ in range(tail))]
             texts.append(" ".join(own))
             for _ in range(rnd.randint(0, 2)):
                 own[rnd.randrange(len(own))] = word()
                 texts.append(" ".join(own))
     rnd.shuffle(texts)
-    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
-    sets = [set(h.tolist()) for h in hashes]
-    segments = [[w >> at & (1 << 32) - 1 for w in simhash._wide(h) for at in (0, 32)] for h in hashes]
-    ball = lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(segments[a], segments[b], strict=True))
-    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    return texts
+
+
+def by_likeness(texts, similarity):
+    found = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in found]
+    near = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= round(100 * similarity) * len(sets[a] | sets[b])
+    return roots(len(texts), near), [len(s) for s in sets]
+
+
+def test_similar_groups_are_those_of_all_pairs(spark, monkeypatch):
+    texts = family(17)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for similarity, block, turns in ((0.8, 256, 2), (0.93, 7, 2), (0.97, 7, 0)):
-        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
-        monkeypatch.setattr(simhash, "TURNS", turns, raising=False)
-        expected = roots(len(texts), lambda a, b: likeness(a, b) >= similarity and ball(a, b))
+    for similarity, width in ((0.8, 128), (0.8, 400), (0.93, 400)):
+        monkeypatch.setattr(simhash, "WIDTH", width)
+        expected, _ = by_likeness(texts, similarity)
         got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, similarity=similarity).collect()}
         assert len(set(expected)) > 1
         assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_bottom_k_groups_are_those_of_all_pairs(spark):
+    odd = [None, "", " \n", "one", "One", "one two", "a b c d e", "A b c d E", "a b c d f"]
+    texts = [*odd, *family(5, each=20), *crowd(8, 60)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
+    expected, sizes = by_likeness(texts, 0.85)
+    for width in (64, 192):
+        got = {r.doc_id: r for r in overlap.near_duplicates(docs, width=width).collect()}
+        assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(s, r, i == r) for i, (s, r) in enumerate(zip(sizes, expected))]
+    assert overlap.near_duplicates(docs.limit(0)).collect() == []
+    text = " ".join(map(str, range(40)))
+    rows = spark.createDataFrame([(None, text), (4, text), (4, text), (3, text + " x"), (None, "lone words"), (7, None)], "doc_id long, text string")
+    assert sorted(map(str, overlap.near_duplicates(rows).collect())) == sorted(
+        f"Row(doc_id={d}, n_shingles={n}, component_id={c}, kept={k})" for d, n, c, k in [(None, 36, 3, False), (4, 36, 3, False), (4, 36, 3, False), (3, 37, 3, True), (None, 1, None, False), (7, 0, 7, True)]
+    )
+
+
+def test_candidates_of_a_family_grow_with_its_size(spark, monkeypatch):
+    """5,000 different texts on one template, each pair nearly alike: entries are linear, and texts
+    meet only where they can be alike."""
+    rnd = random.Random(3)
+    template = [f"w{i}" for i in range(150)]
+    texts = [" ".join([*template, *(f"x{rnd.random()}" for _ in range(24 + k % 5))]) for k in range(5000)]
+    met = []
+    monkeypatch.setattr(overlap, "written", lambda df, label, write=overlap.written: met.append((label, (out := write(df, label)).count())) or out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = overlap.near_duplicates(docs)
+    assert got.where("kept").count() == 5000
+    assert sum(n for label, n in met if label == "candidates") <= 5000 and sum(n for label, n in met if label == "lists") <= 100_000
+
+
 def test_fingerprints_by_one_permutation(spark):
     texts = crowd(2, 60)
 
