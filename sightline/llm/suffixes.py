@@ -13,8 +13,10 @@ what a shard has sorted stays sorted; a split fixes the common prefix of two nei
 backward steps by the preceding byte order the longer suffixes, one byte at a time, with common
 prefixes as range minima of the round before. Neighbours with LENGTH common bytes are repeats.
 
-No text meets another one whole. An anchor with more than BLOCK contexts is cut into blocks; classes
-of equal strings of different blocks then meet by their 128-bit hashes.
+No text meets another one whole. An anchor with more than BLOCK contexts is cut into blocks. Strings
+of different blocks meet in two steps: CELL neighbouring starts, by their distance to the anchor,
+go out as one row under the hash of the bytes that all their strings have in common; only where
+that meets another do the strings meet by their own 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ WINDOW = LENGTH - GRAM + 1
 #: Contexts of one anchor that are compared in one task, of one task, and of one shard.
 BLOCK, BUCKET, SHARD = 2048, 16_384, 4096
 
+#: Neighbouring starts of a context that meet those of other blocks as one.
+CELL = 16
+
 #: Bytes of a text that are hashed at once; positions within them fit POSITION_BITS.
 CHUNK, POSITION_BITS = 4_000_000, 24
 
@@ -82,7 +87,7 @@ def contexts(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def text_id(raw: bytes) -> bytes:
-    return hashlib.md5(raw, usedforsecurity=False).digest()
+    return hashlib.sha256(raw).digest()
 
 
 def _places(docs: DataFrame, text: str, with_place: bool) -> DataFrame:
@@ -215,9 +220,16 @@ def repeated_starts(anchors: np.ndarray, texts: list[bytes], offs: np.ndarray) -
     return class_of
 
 
+def _halves(raw: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(raw)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
 def _compare(table: pa.Table) -> dict:
     """Marks (id, start, n) of contexts that occur once, and for anchors of several blocks rows
-    (id, start, n = 1, h1, h2) for each class of equal strings: id is null where the class needs no mark."""
+    (id, start, n, h1, h2, strings): of a cell the context's first start, the number of starts, the
+    hash of the cell's common bytes and, for each class of equal strings that no row has shown
+    before, the start from there on, its hash and whether it needs a mark."""
     anchors = table.column("anchor").to_numpy().view(np.uint64)
     texts = table.column("text").to_pylist()
     offs = table.column("off").to_numpy().astype(np.int64)
@@ -227,7 +239,7 @@ def _compare(table: pa.Table) -> dict:
     flat = class_of.ravel()
     _, back, sizes = np.unique(flat, return_inverse=True, return_counts=True)
     again = (sizes[back].reshape(class_of.shape) > 1) & (class_of > 0)
-    out: dict[str, list] = {"id": [], "start": [], "n": [], "h1": [], "h2": []}
+    out: dict[str, list] = {"id": [], "start": [], "n": [], "h1": [], "h2": [], "strings": []}
 
     def put(*row) -> None:
         for name, value in zip(out, row, strict=True):
@@ -236,17 +248,21 @@ def _compare(table: pa.Table) -> dict:
     # as runs of neighbouring starts, which are runs of neighbouring offsets
     edges = np.diff(np.pad((again & once[:, None]).astype(np.int8), ((0, 0), (1, 1))), axis=1)
     for (i, lo), (_, hi) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
-        put(ids[i], int(starts[i] + offs[i] - (hi - 1)), hi - lo, None, None)
+        put(ids[i], int(starts[i] + offs[i] - (hi - 1)), hi - lo, None, None, None)
     shown: set[int] = set()
     for i in np.flatnonzero(several).tolist():
+        cells: dict[int, list[dict]] = {}
         for o in np.flatnonzero(class_of[i]).tolist():
             if (c := int(class_of[i, o])) in shown:
                 continue
             shown.add(c)
             begin = int(offs[i]) - o
-            h = xxhash.xxh3_128_intdigest(texts[i][begin : begin + LENGTH])
-            done = again[i, o] or not once[i]
-            put(None if done else ids[i], int(starts[i]) + begin, 1, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63))
+            h1, h2 = _halves(texts[i][begin : begin + LENGTH])
+            cells.setdefault(o // CELL, []).append({"at": begin, "h1": h1, "h2": h2, "open": bool(once[i] and not again[i, o])})
+        for cell, strings in cells.items():
+            # the bytes between the last start and the end of the first string of a full cell
+            last = int(offs[i]) - cell * CELL
+            put(ids[i], int(starts[i]), len(strings), *_halves(texts[i][max(0, last) : last - CELL + 1 + LENGTH]), strings)
     return out
 
 
@@ -266,7 +282,7 @@ def marks(docs: DataFrame, text: str = "text") -> DataFrame:
     one = places.where("kinds > 1").groupBy("anchor", "context").agg(F.min(F.struct("id", "start", "n", "off")).alias("at"), F.first("once").alias("once"), F.first("kinds").alias("kinds"))
     needed = one.select("at.id", F.struct("anchor", "context", "at.start", "at.n", "at.off", "once", "kinds").alias("at")).groupBy("id").agg(F.collect_list("at").alias("wanted"))
     total = int(counted.join(shared.where("kinds > 1"), "anchor", "left_semi").count())
-    holders = docs.select(F.col(text).alias("text"), F.unhex(F.md5(text)).alias("id")).join(needed, "id").dropDuplicates(["id"])
+    holders = docs.select(F.col(text).alias("text"), F.unhex(F.sha2(text, 256)).alias("id")).join(needed, "id").dropDuplicates(["id"])
 
     def cut(part: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("anchor", "context", "id", "start", "off", "once", "kinds", "text")}
@@ -284,15 +300,22 @@ def marks(docs: DataFrame, text: str = "text") -> DataFrame:
     place = F.xxhash64("anchor", F.pmod(F.xxhash64("context"), blocks))
     buckets = cuts.withColumn("blocks", blocks).withColumn("bucket", F.pmod(place, F.lit(max(1, -(-total // BUCKET)))))
 
+    longs = pa.int64()
+    strings = pa.list_(pa.struct([("at", longs), ("h1", longs), ("h2", longs), ("open", pa.bool_())]))
+
     def compare(group: pa.Table) -> pa.Table:
-        kinds = [("id", pa.binary()), ("start", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+        kinds = [("id", pa.binary()), ("start", longs), ("n", pa.int32()), ("h1", longs), ("h2", longs), ("strings", strings)]
         return pa.table(_compare(group), pa.schema(kinds))
 
-    found = buckets.groupBy("bucket").applyInArrow(compare, "id binary, start bigint, n int, h1 bigint, h2 bigint")
+    string = "struct<at bigint, h1 bigint, h2 bigint, open boolean>"
+    found = buckets.groupBy("bucket").applyInArrow(compare, f"id binary, start bigint, n int, h1 bigint, h2 bigint, strings array<{string}>")
     found = written(found, "compared")
-    classes = found.where("h1 IS NOT NULL")
+    cells = found.where("h1 IS NOT NULL")
+    near = cells.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    classes = cells.join(near, ["h1", "h2"], "left_semi").select("id", "start", F.explode("strings").alias("s")).select("id", "start", "s.*")
+    classes = written(classes, "classes")
     met = classes.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    across = classes.where("id IS NOT NULL").join(met, ["h1", "h2"], "left_semi").select("id", "start", "n")
+    across = classes.where("open").join(met, ["h1", "h2"], "left_semi").select("id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(found.where("h1 IS NULL").select("id", "start", "n")).unionByName(across)
 
 
@@ -330,7 +353,7 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
     by_text = marks(docs, text).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("_marks"))
-    own = docs.withColumn("_id", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    own = docs.withColumn("_id", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     return own.join(by_text.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
 
