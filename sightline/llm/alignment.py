@@ -26,7 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ CUT, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:\s|(?<=\s ))")
 
 def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places (i, j) with a[i] == b[j] of two ascending lists, by galloping through the longer one."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
     swapped = len(a) > len(b)
     short, long = (b, a) if swapped else (a, b)
     out, low, n = [], 0, len(long)
@@ -89,10 +91,12 @@ class Pair:
         raw = lambda t: bytes(symbols[c] for c in t) if all(c in symbols for c in t) else t.encode()
         entries = {i: raw(t) for t, i in spec["model"]["vocab"].items()}
         entries |= {t["id"]: t["content"].encode() for t in spec["added_tokens"] if t["id"] not in entries}
-        self.raw_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
+        if not {bytes([i]) for i in range(256)} <= set(entries.values()):
+            raise ValueError(f"{bytes_file} has not all bytes")
         piece = lambda p: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
         self.raw_b = [piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.size_a, self.size_b = list(map(len, self.raw_a)), list(map(len, self.raw_b))
+        self.size_a, self.size_b = [len(entries.get(i, b"")) for i in range(max(entries) + 1)], list(map(len, self.raw_b))
+        self.name = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         self.forget()
 
     def forget(self) -> None:
@@ -117,32 +121,37 @@ class Pair:
             at = to
 
     def _add(self, chunk: str, x: list[int], y: list[int]) -> None:
-        raw = chunk.encode()
         self.number[chunk] = len(self.shown)
         self.chars += len(chunk)
-        if b"".join(map(self.raw_a.__getitem__, x)) != raw or b"".join(map(self.raw_b.__getitem__, y)) != raw:
+        if b"".join(map(self.raw_b.__getitem__, y)) != chunk.encode():
             self.facts.extend((0, 0, 0, 0, 1))
             self.shown.append("")
             self.starts.append(len(self.pairs))
             return
-        meet = common_ends(list(accumulate(map(self.size_a.__getitem__, x))), list(accumulate(map(self.size_b.__getitem__, y))))
-        linked: Counter[int] = Counter()
-        shown, links, i, j = [], 0, 0, 0
-        for p, q in meet:
-            own, other = x[i : p + 1], y[j : q + 1]
-            i, j = p + 1, q + 1
-            links += len(own) * len(other)
-            shown.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-            if len(own) == len(other) == 1:
-                linked[own[0] << 32 | other[0]] += 1
+        name, linked, shown, links, i, j = self.name, {}, [], 0, 0, 0
+        for p, q in common_ends(list(accumulate(map(self.size_a.__getitem__, x))), list(accumulate(map(self.size_b.__getitem__, y)))):
+            if p == i and q == j:
+                links += 1
+                shown.append(f"{name[x[i]]}|{name[y[j]]}")
+                key = x[i] << 32 | y[j]
+                linked[key] = linked.get(key, 0) + 1
             else:
-                counted = Counter(other).items()
-                for token, n in Counter(own).items():
-                    for partner, m in counted:
-                        linked[token << 32 | partner] += n * m
-        self.facts.extend((len(x), len(y), len(meet), links, 0))
+                own, other = x[i : p + 1], y[j : q + 1]
+                links += len(own) * len(other)
+                shown.append(f"{','.join(map(name.__getitem__, own))}|{','.join(map(name.__getitem__, other))}")
+                if len(own) * len(other) > 64:
+                    tokens, partners = Counter(own).items(), Counter(other).items()
+                else:
+                    tokens, partners = zip(own, repeat(1), strict=False), [(o, 1) for o in other]
+                for token, n in tokens:
+                    high = token << 32
+                    for partner, m in partners:
+                        key = high | partner
+                        linked[key] = linked.get(key, 0) + n * m
+            i, j = p + 1, q + 1
+        self.facts.extend((len(x), len(y), len(shown), links, 0))
         self.shown.append(";".join(shown))
-        self.pairs.extend(linked.keys())
+        self.pairs.extend(linked)
         self.times.extend(linked.values())
         self.starts.append(len(self.pairs))
 
