@@ -395,7 +395,7 @@ ranked AS (
 """
 
 CORR_SQL = """
-corr AS (
+corr AS MATERIALIZED (
   SELECT concat_ws(':', trade_id, kind, event_id) AS id, trade_id, kind, event_id, days_gap, signal,
     CASE WHEN event_id % 11 = 0 THEN false WHEN event_id % 11 = 1 THEN true END AS verified
   FROM ranked WHERE pos <= {cap})

@@ -493,11 +493,17 @@ record AS (
   FROM ours),
 clean_ours AS (SELECT id, date, upper(ticker) AS ticker, amount_min, coalesce(amount_max, 9e18) AS amount_max, {d} AS d FROM ours),
 clean_record AS (SELECT *, {d} AS d FROM record),
+meeting AS (
+  SELECT r.record_id, r.amount_min, r.amount_max, t.id, t.amount_min AS our_min, t.amount_max AS our_max
+  FROM clean_record r JOIN clean_ours t ON t.date = r.date AND t.ticker = upper(r.ticker)
+  UNION ALL
+  SELECT r.record_id, r.amount_min, r.amount_max, t.id, t.amount_min, t.amount_max
+  FROM clean_record r JOIN clean_ours t ON t.date = r.date AND left(t.d, 4) = left(r.d, 4)
+  WHERE length(r.d) >= 4 AND length(t.d) >= 4 AND (starts_with(r.d, t.d) OR starts_with(t.d, r.d))),
 match0 AS (
-  SELECT r.record_id, min(t.id) AS trade_id FROM clean_record r JOIN clean_ours t ON t.date = r.date
-  WHERE (upper(r.ticker) = t.ticker OR (length(r.d) >= 4 AND length(t.d) >= 4 AND (starts_with(r.d, t.d) OR starts_with(t.d, r.d))))
-    AND (r.amount_min IS NULL OR (r.amount_min <= t.amount_max AND t.amount_min <= coalesce(r.amount_max, 9e18)))
-  GROUP BY r.record_id),
+  SELECT record_id, min(id) AS trade_id FROM meeting
+  WHERE amount_min IS NULL OR (amount_min <= our_max AND our_min <= coalesce(amount_max, 9e18))
+  GROUP BY record_id),
 matches AS (SELECT r.record_id, r.source, m.trade_id FROM record r LEFT JOIN match0 m USING (record_id)),
 prior AS (SELECT id AS trade_id, ['alpha'] AS prior FROM ours WHERE id % 2 = 0),
 sources AS (

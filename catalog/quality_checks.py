@@ -191,8 +191,8 @@ def prune_stale(b):
 
 
 @check("apply_verdicts", with_correlations("""
-SELECT k.id, CASE WHEN v.id IS NOT NULL THEN v.genuine ELSE k.verified END AS verified, v.reason
-FROM corr k LEFT JOIN (SELECT id, signal >= 50 AS genuine, 'score ' || kind AS reason FROM corr WHERE verified IS NULL AND days_gap < 0) v USING (id)"""))
+SELECT id, CASE WHEN verified IS NULL AND days_gap < 0 THEN signal >= 50 ELSE verified END AS verified,
+  CASE WHEN verified IS NULL AND days_gap < 0 THEN 'score ' || kind END AS reason FROM corr"""))
 def apply_verdicts(b):
     given = b.corr.filter(F.col("verified").isNull() & (F.col("days_gap") < 0)).select(
         "id", (F.col("signal") >= 50).alias("genuine"), F.concat(F.lit("score "), "kind").alias("reason")

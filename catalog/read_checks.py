@@ -73,10 +73,15 @@ def get_transaction(b):
     return L.get_transaction(b.trade, b.filing, b.company, newest).select(*VIEW_COLUMNS)
 
 
-@check("get_filing", with_entities("""
-SELECT f.id AS filing_id, f.form_type, f.status, t.id, t.row_number::BIGINT AS row_number, t.type, t.description
-FROM filing f JOIN trade t ON t.filing_id = f.id
-WHERE f.id = (SELECT max(filing_id) FROM public_trade)"""))
+@check("get_filing", """
+WITH newest AS (
+  SELECT * FROM orders WHERE o_orderkey = (
+    SELECT max(o_orderkey) FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)))
+SELECT o_orderkey AS filing_id, CASE WHEN any_value(o_orderpriority) = '5-LOW' THEN 'annual' ELSE 'periodic' END AS form_type,
+  CASE any_value(o_orderstatus) WHEN 'F' THEN 'published' WHEN 'O' THEN 'parsed' END AS status,
+  o_orderkey * 10 + l_linenumber AS id, l_linenumber::BIGINT AS row_number,
+  CASE min(l_returnflag) WHEN 'A' THEN 'Purchase' WHEN 'R' THEN 'Sale' WHEN 'N' THEN 'Exchange' END AS type, 'LOT ' || min(l_partkey) AS description
+FROM newest JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_linenumber""")
 def get_filing(b):
     newest = public_trades(b.trade, b.filing).agg(F.max("filing_id")).scalar()
     return L.get_filing(b.trade, b.filing, newest).select(
