@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import scoring as S
 from sightline.operators.upserts import upsert_correlations
 from sightline.plans import correlate as C
+from sightline.plans import maintain as M
 
 DAY0 = dt.date(2025, 1, 1)
 TOPICS = {1: ["chips"], 2: ["chips", "banks"], 3: [], 4: ["banks"]}
@@ -171,3 +172,35 @@ def test_weights_and_direction(rows):
     impact = S.event_impact(F.col("k"), F.col("s"), F.col("a"))
     got = [r.d for r in df.select(S.direction(S.trade_side(F.col("t")), impact).alias("d")).collect()]
     assert got == [1.0, 0.0, 1.0, 0.5, 1.0, 0.0, 0.5, 0.5]
+
+
+def test_store_follows_batches(spark, world, tmp_path):
+    """After each batch of events the store equals a full run over what is there; verdicts stay, also
+    over later batches, and only the months that a batch can reach are written."""
+    trade, filing, company, person, statement, mention, action, target = frames(spark, world)
+    path, who = str(tmp_path / "pairs"), (trade, filing, company, person)
+    batch = F.floor(F.col("id") * 3 / 160)
+    events = statement.selectExpr("'statement' AS kind", "id AS event_id", "spoken_at AS event_date", "id").unionByName(
+        action.selectExpr("'action' AS kind", "id AS event_id", "occurred_on AS event_date", "id")
+    )
+    facts = ["trade_id", "kind", "event_id", "days_gap", "signal"]
+    for k in range(3):
+        so_far = (statement.where(batch <= k), mention, action.where(batch <= k), target)
+        for _ in range(2 if k == 1 else 1):  # one batch comes twice
+            M.refresh(path, *who, *so_far, changed=events.where(batch == k).drop("id"))
+        full = {tuple(r) for r in C.correlate(*who, *so_far).select(*facts).collect()}
+        stored = M.stored_pairs(spark, path)
+        assert {tuple(r) for r in stored.select(*facts).collect()} == full and stored.count() == len(full)
+        if k == 0:
+            given = stored.orderBy("signal").limit(5).select("trade_id", "kind", "event_id", F.lit(True).alias("verified"), F.lit("seen").alias("reason"))
+            said = {tuple(r)[:3] for r in given.collect()}
+            M.review(path, spark.createDataFrame(given.collect(), given.schema))
+        still = {tuple(r)[:3] for r in stored.where("verified AND reason = 'seen'").select("trade_id", "kind", "event_id").collect()} if k else said
+        assert still == {x for x in said if x in {f[:3] for f in full}}
+    # events that go leave no pair behind, in whatever month
+    gone = statement.where("id < 0"), mention, action.where("id < 0"), target
+    M.refresh(path, *who, *gone, changed=events.drop("id"))
+    assert M.stored_pairs(spark, path).count() == 0
+    # an event of one day reaches the trades of its window alone
+    one = spark.createDataFrame([("statement", 1, dt.date(2025, 6, 30))], "kind string, event_id bigint, event_date date")
+    assert M.refresh(path, *who, statement, mention, action, target, changed=one).count() == 0
