@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sightline.session import shared_folder
 
@@ -56,7 +57,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column is called so, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
     """`batch` turns one Arrow batch into columns of `schema` (any number of rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ OUTSIDE = len(KINDS)
 #: Bounds of the training sample and of a segment.
 SAMPLE_DOCS = 3000
 SAMPLE_STRETCHES = 1500
+
+#: Bounds of what one document and one stretch give for training: the windows of a document that
+#: have the least hashes, wherever in the text they are, and stretches of at most so many tokens.
+SAMPLE_WINDOWS = 5
+SAMPLE_TOKENS = 40
 MOST_TOKENS = 6
 MOST_LENGTH = 160
 STEPS, RATE, DECAY = 6, 0.3, 1e-4
@@ -294,7 +300,7 @@ def fit(texts: list[str]) -> Model:
     seen = []
     for text in texts:
         for s in stretches(text):
-            if len(seen) < SAMPLE_STRETCHES and len(s.tokens) <= 40:
+            if len(seen) < SAMPLE_STRETCHES and len(s.tokens) <= SAMPLE_TOKENS:
                 seen.append((s, gold_segments(text, s)))
     for _ in range(STEPS):
         for s, gold in seen:
@@ -334,17 +340,22 @@ def _windows(text: str) -> list[str]:
     return out
 
 
+def _drawn(text: str) -> list[str]:
+    return sorted(_windows(text), key=lambda w: (xxhash.xxh64_intdigest(w), w))[:SAMPLE_WINDOWS]
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Fits the random field to the SAMPLE_DOCS documents with digits or at-signs whose hashed keys
-    are least; only surroundings of such characters reach the driver. Null texts are left out; with
-    nothing to learn from, the model adds no spans."""
+    are least, and of each to the SAMPLE_WINDOWS surroundings of such characters whose hashes are;
+    nothing else reaches the driver. Stretches of more than SAMPLE_TOKENS tokens teach nothing. Null
+    texts are left out; with nothing to learn from, the model adds no spans."""
     active = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_order"))
     chosen = active.orderBy("_order", "_key").limit(SAMPLE_DOCS).select("_key").distinct()
     # at most SAMPLE_DOCS keys
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key", "left_semi")
 
     def batch(part: pa.RecordBatch) -> dict:
-        pairs = [(str(k), w) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in _windows(t or "")[:5]]
+        pairs = [(str(k), w) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in _drawn(t or "")]
         return {"at": [p[0] for p in pairs], "seen": [p[1] for p in pairs]}
 
     found = arrow_map(rows, batch, "at string, seen string").orderBy(F.xxhash64("at", "seen"), "seen").limit(2 * SAMPLE_STRETCHES).collect()
@@ -399,4 +410,4 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         columns[text] = pa.array([None if t is None else redacted(model, t) for t in part.column(at).to_pylist()], pa.string())
         return columns
 
-    return arrow_map(docs, batch, docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return arrow_map(docs, batch, docs.schema)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import unused, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -144,7 +144,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     fine = ~F.col("base_failed")
     for m in LEAST_SPREAD:
         fine = fine & (F.col(m) <= F.coalesce(f"high_{m}", F.col(m))) & (F.col(m) >= F.coalesce(f"low_{m}", F.col(m)))
-    return joined.select(*measured.columns, fine.alias("kept"))
+    return joined.select(*[F.col(f"`{c}`") for c in measured.columns if c.lower() != "kept"], fine.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -152,8 +152,9 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     hashes of text, language and source, on which it depends alone, so keys may repeat or be null."""
     mark = [F.xxhash64(text, lang, source), F.xxhash64(source, lang, text, F.lit(1))]
     parts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), mark[0].alias("_m"), mark[1].alias("_o"))
-    good = judge(parts).where("kept").select("_m", "_o").distinct()
-    return docs.withColumns({"_m": mark[0], "_o": mark[1]}).join(good, ["_m", "_o"], "left_semi").select(*docs.columns)
+    m, o = unused(docs.columns, "_m"), unused(docs.columns, "_o")
+    good = judge(parts).where("kept").select(F.col("_m").alias(m), F.col("_o").alias(o)).distinct()
+    return docs.withColumns({m: mark[0], o: mark[1]}).join(good, [m, o], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _oracle() -> str:

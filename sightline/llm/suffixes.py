@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, unused, written
 
 LENGTH = 200
 GRAM = 32
@@ -352,9 +352,11 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
-    by_text = marks(docs, text).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("_marks"))
-    own = docs.withColumn("_id", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    return own.join(by_text.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    """`docs` and, as last column, the marks of each text."""
+    own, found = unused(docs.columns, "_id"), unused(docs.columns, "_marks")
+    by_text = marks(docs, text).groupBy(F.col("id").alias(own)).agg(F.collect_list(F.struct("start", "n")).alias(found))
+    named = docs.withColumn(own, F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)))
+    return named.join(by_text, own, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,7 +385,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with repeated strings cut out of the texts, in whole characters; null texts stay null."""
     columns = docs.columns
-    marked = _marked(docs, text).select(*columns, "_marks")
+    marked = _marked(docs, text)
     at = columns.index(text)
 
     def batch(part: pa.RecordBatch) -> dict:
@@ -396,4 +398,4 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
             texts.append(t)
         return out | {text: pa.array(texts, pa.string())}
 
-    return arrow_map(marked, batch, docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return arrow_map(marked, batch, docs.schema)
