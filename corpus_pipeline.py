@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import packing, pii, quality, simhash, suffixes
-from sightline.llm.common import vocabulary, written
+from sightline.llm.common import unused, vocabulary, written
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -26,11 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     those with different texts are dropped or kept each by its own group, and of rows equal in
     id and text one is kept."""
     groups = simhash.similar_groups(docs)
-    first = groups.where("doc_id = component_id AND digest = component_digest").select("doc_id", F.col("digest").alias("_digest")).distinct()
-    by = ["doc_id", "_digest"]
+    own = unused(docs.columns, "_digest")
+    first = groups.where("doc_id = component_id AND digest = component_digest").select("doc_id", F.col("digest").alias(own)).distinct()
+    by = ["doc_id", own]
     # the join has put the rows of an id and text together
-    kept = docs.where("doc_id IS NOT NULL").withColumn("_digest", simhash.digest_of("text")).join(first, by, "left_semi").dropDuplicates(by)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.where("doc_id IS NOT NULL").withColumn(own, simhash.digest_of("text")).join(first, by, "left_semi").dropDuplicates(by)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
