@@ -38,10 +38,10 @@ from .common import written
 from .token_counts import byte_symbols
 
 #: Characters of the texts of a block, and of chunks kept by a worker until it starts anew.
-BLOCK_CHARS, STORE_CHARS = 24_000_000, 40_000_000
+BLOCK_CHARS, STORE_CHARS = 5_000_000, 5_000_000
 
 #: Characters that are handed to the libraries at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 200_000
 
 #: a blank between two characters that are no white space, and one beside white space
 CUT, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:\s|(?<=\s ))")
@@ -95,6 +95,8 @@ class Pair:
             raise ValueError(f"{bytes_file} has not all bytes")
         piece = lambda p: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
         self.raw_b = [piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        if any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())):
+            raise ValueError(f"{pieces_file} has pieces that span a blank")
         self.size_a, self.size_b = [len(entries.get(i, b"")) for i in range(max(entries) + 1)], list(map(len, self.raw_b))
         self.name = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         self.forget()
@@ -106,30 +108,53 @@ class Pair:
         self.starts, self.pairs, self.times = array("q", [0]), array("q"), array("q")
 
     def learn(self, chunks: list[str]) -> None:
-        """Chunks have a blank before them, which the second tokenizer adds by itself."""
+        """Chunks have a blank before them, which the second tokenizer adds by itself. Those without
+        white space at their ends are encoded together, as one text."""
         at = 0
         while at < len(chunks):
             to, size = at, 0
             while to < len(chunks) and (to == at or size + len(chunks[to]) <= AT_ONCE):
                 size += len(chunks[to])
                 to += 1
-            part = chunks[at:to]
-            first = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            second = self.b.encode([c[1:] for c in part], num_threads=1)
-            for c, x, y in zip(part, first, second, strict=True):
-                self._add(c, x, y)
-            at = to
-
-    def _add(self, chunk: str, x: list[int], y: list[int]) -> None:
+            part, at = chunks[at:to], to
+            plain = [c for c in part if len(c) > 1 and not c[1].isspace() and not c[-1].isspace() and "▁" not in c]
+            together = len(plain) > 1 and self._together(plain)
+            for c in part if not together else set(part).difference(plain):
+                x, y = self.a.encode(c, add_special_tokens=False).ids, self.b.encode(c[1:])
+                raw = b"".join(map(self.raw_b.__getitem__, y))
+                self._add(c, x, y, *(list(accumulate(map(sizes.__getitem__, ids))) for sizes, ids in ((self.size_a, x), (self.size_b, y))), raw == c.encode())
+
+    def _together(self, chunks: list[str]) -> bool:
+        """Learns the chunks from one text; False if the text does not come back byte by byte."""
+        text = "".join(chunks)
+        x, y = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if b"".join(map(self.raw_b.__getitem__, y)) != text.encode():
+            return False
+        bounds = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        cuts, ends = [], []
+        for sizes, ids in ((self.size_a, x), (self.size_b, y)):
+            own = np.cumsum(np.fromiter(map(sizes.__getitem__, ids), np.int64, len(ids)))
+            at = np.searchsorted(own, bounds)
+            if (own[at] != bounds).any():
+                return False
+            cuts.append((at + 1).tolist())
+            ends.append(own.tolist())
+        p = q = 0
+        for c, i, j in zip(chunks, *cuts, strict=True):
+            self._add(c, x[p:i], y[q:j], ends[0][p:i], ends[1][q:j], True)
+            p, q = i, j
+        return True
+
+    def _add(self, chunk: str, x: list[int], y: list[int], ends_x: list[int], ends_y: list[int], faithful: bool) -> None:
         self.number[chunk] = len(self.shown)
         self.chars += len(chunk)
-        if b"".join(map(self.raw_b.__getitem__, y)) != chunk.encode():
+        if not faithful:
             self.facts.extend((0, 0, 0, 0, 1))
             self.shown.append("")
             self.starts.append(len(self.pairs))
             return
         name, linked, shown, links, i, j = self.name, {}, [], 0, 0, 0
-        for p, q in common_ends(list(accumulate(map(self.size_a.__getitem__, x))), list(accumulate(map(self.size_b.__getitem__, y)))):
+        for p, q in common_ends(ends_x, ends_y):
             if p == i and q == j:
                 links += 1
                 shown.append(f"{name[x[i]]}|{name[y[j]]}")
