@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline.plans import dashboard as D
 from sightline.plans import graph as G
 from sightline.plans import timeline as T
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, new_folder
 
 from .bindings import with_correlations, with_entities
 from .registry import check
@@ -131,6 +131,24 @@ def graph_neighborhood(b):
     return G.neighbourhood(_stored_edges(b), "company", 7, 2).select("edge_id", "level", "weight")
 
 
+WALK_SQL = """,
+l1 AS (SELECT *, 1 AS level FROM edge WHERE (src_type = 'company' AND src_id = '7') OR (dst_type = 'company' AND dst_id = '7') ORDER BY edge_id LIMIT 1500),
+f1 AS (SELECT src_type AS type, src_id AS id FROM l1 UNION SELECT dst_type, dst_id FROM l1),
+r2 AS (SELECT * FROM edge e WHERE edge_id NOT IN (SELECT edge_id FROM l1)
+  AND (EXISTS (SELECT 1 FROM f1 WHERE f1.type = e.src_type AND f1.id = e.src_id) OR EXISTS (SELECT 1 FROM f1 WHERE f1.type = e.dst_type AND f1.id = e.dst_id))),
+l2 AS (SELECT *, 2 AS level FROM r2 ORDER BY edge_id LIMIT (SELECT 1500 - count(*) FROM l1)),
+cut AS (SELECT (SELECT count(*) FROM r2) > (SELECT 1500 - count(*) FROM l1) AS cut)
+SELECT edge_id, level::BIGINT AS level, weight, cut FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2), cut"""
+
+
+@check("graph_walk", with_correlations("WITH" + EDGES_SQL + WALK_SQL))
+def graph_walk(b):
+    """Two levels around a company on the adjacency table, and whether the cap cut them."""
+    path = new_folder(b.spark, "adjacency")
+    G.store_adjacency(_edges(b), path)
+    return G.walk(b.spark.read.parquet(path), "company", 7, 2).select("edge_id", "level", "weight", "cut")
+
+
 TIMELINE_SQL = """
 lane_trade AS (SELECT t.id, 'trade' AS kind, t.date, t.type || ' ' || c.ticker AS label, t.description AS detail, '/trades/' || t.id AS href, c.ticker
   FROM public_trade t JOIN company c ON c.id = t.company_id ORDER BY t.date DESC, t.id LIMIT 600),

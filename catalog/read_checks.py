@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 
@@ -46,6 +48,24 @@ def page_transactions(b):
     return _page(b, sort_by="amount", order="asc", page=3, limit=500)
 
 
+@check("seek_transactions", with_entities("WITH" + VIEW_SQL + """,
+behind AS (SELECT * FROM view WHERE date < DATE '1996-06-15' OR (date = DATE '1996-06-15' AND id > 40000) ORDER BY date DESC, id LIMIT 120),
+ahead AS (SELECT * FROM view WHERE date > DATE '1996-06-15' OR (date = DATE '1996-06-15' AND id < 40000) ORDER BY date ASC, id DESC LIMIT 80)
+SELECT 'after' AS side, id, description, strftime(date, '%Y-%m-%d') AS date, band::BIGINT AS band, ticker FROM behind
+UNION ALL SELECT 'before', id, description, strftime(date, '%Y-%m-%d'), band::BIGINT, ticker FROM ahead"""))
+def seek_transactions(b):
+    """The pages on both sides of one place of the listing, newest first."""
+    place = {"date": dt.date(1996, 6, 15), "id": 40_000}
+    sides = [("after", {"after": place, "limit": 120}), ("before", {"before": place, "limit": 80})]
+    pages = [
+        L.seek_transactions(b.trade, b.filing, b.company, **options).select(
+            F.lit(side).alias("side"), "id", "description", "date", "band", "ticker"
+        )
+        for side, options in sides
+    ]
+    return pages[0].unionByName(pages[1])
+
+
 @check("search_transactions", with_entities("WITH" + VIEW_SQL + VIEW_SELECT + """
 WHERE description ILIKE '%77%' OR ticker ILIKE '%77%' OR company_name ILIKE '%77%'"""))
 def search_transactions(b):

@@ -24,6 +24,53 @@ def paged(df: DataFrame, order: list[Column], page: int = 1, limit: int = DEFAUL
     return (ordered.offset(skipped) if skipped else ordered).limit(size)
 
 
+def _seek(order: list[tuple[str, bool]], row: dict, forward: bool) -> Column:
+    """Rows behind (or ahead of) `row` in an order of (column, descending); NULL is the greatest value."""
+    behind, tied = F.lit(False), F.lit(True)
+    for name, descending in order:
+        key, value = F.col(name), row[name]
+        if descending == forward:  # smaller values are wanted
+            beyond = key.isNotNull() if value is None else key < F.lit(value)
+        else:
+            beyond = F.lit(False) if value is None else (key > F.lit(value)) | key.isNull()
+        behind = behind | (tied & beyond)
+        tied = tied & key.eqNullSafe(F.lit(value))
+    return behind
+
+
+def seek_page(
+    df: DataFrame,
+    order: list[tuple[str, bool]],
+    *,
+    after: dict | None = None,
+    before: dict | None = None,
+    limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """The page next to a row, found by its sort values instead of by counting rows.
+
+    `order` is a total order of (column, descending), the last column unique; NULL is the greatest
+    value, as in `paged`. `after` and `before` hold the sort values of the last or first row of the
+    page shown, which need not exist any more; with neither, the first page. The condition is
+    made of plain comparisons, so it reaches the scan, and a page costs the same however deep it
+    lies. Rows come in the order of the listing in both directions. Keys that are NaN are not
+    supported.
+    """
+    if after is not None and before is not None:
+        raise ValueError("give `after` or `before`, not both")
+    size = min(MAX_LIMIT, max(1, limit))
+
+    def sorting(forward: bool) -> list[Column]:
+        return [
+            F.col(name).desc_nulls_first() if descending == forward else F.col(name).asc_nulls_last()
+            for name, descending in order
+        ]
+
+    if before is not None:
+        return df.filter(_seek(order, before, False)).orderBy(*sorting(False)).limit(size).orderBy(*sorting(True))
+    rows = df if after is None else df.filter(_seek(order, after, True))
+    return rows.orderBy(*sorting(True)).limit(size)
+
+
 def page_totals(df: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Row count beside a page, and how many pages there are."""
     size = min(MAX_LIMIT, max(1, limit))
@@ -81,6 +128,16 @@ def list_transactions(
     return paged(rows, [ordering, F.asc("id")], page, limit)
 
 
+def seek_transactions(
+    trade, filing, company, *, sort_by="date", order="desc", after=None, before=None,
+    limit=DEFAULT_LIMIT, **filters,
+) -> DataFrame:
+    """`list_transactions` by the sort values of a shown row: {sort column: value, "id": value}."""
+    rows = trade_filter(trade_view(trade, filing, company), **filters)
+    keys = [(SORT_KEYS[sort_by], order != "asc"), ("id", False)]
+    return seek_page(rows, keys, after=after, before=before, limit=limit)
+
+
 def get_transaction(trade, filing, company, trade_id) -> DataFrame:
     return trade_view(trade.filter(F.col("id") == trade_id), filing, company)
 

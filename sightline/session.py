@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.path.join(shared_folder(spark), "lineage"))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder name of its own under the shared one, for a table that a job writes once."""
+    return os.path.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")

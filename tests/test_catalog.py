@@ -7,7 +7,7 @@ import pytest
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "site_stats", "type_breakdown", "list_transactions", "correlate", "asof_price", "mentions_company",
-    "supersede_same_day", "reconcile_match", "extract_rows", "dedupe_filings", "stream_usage", "stream_incremental",
+    "supersede_same_day", "reconcile_match", "extract_rows", "dedupe_filings", "stream_usage", "stream_incremental", "seek_transactions", "graph_walk",
 ]
 
 

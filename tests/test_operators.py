@@ -207,3 +207,89 @@ def test_company_table(rows, query, sector, sort, first):
     listing_df = rows("id int, name string, ticker string, sector string, trade_count int, correlation_count int",
                       [(1, "Beta", None, "S", 1, 0), (2, "Alpha", "A", None, 5, 3), (3, "Gamma", "G", "S", 9, 1)])
     assert listing.companies_view(listing_df, query=query, sector=sector, sort=sort).first().id == first
+
+
+def _trade_rows(rows):
+    days = [None, D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 2), D(2024, 1, 3)]
+    data = [(n, days[n % 5], n % 3 if n % 4 else None) for n in range(1, 38)]
+    return rows("id int, date date, band int", data)
+
+
+@pytest.mark.parametrize("keys", [
+    [("date", True), ("id", False)], [("date", False), ("id", False)], [("band", True), ("date", False), ("id", True)],
+])
+def test_seek_pages_walk_the_whole_listing_both_ways(rows, keys):
+    df = _trade_rows(rows)
+    sorting = [F.col(k).desc_nulls_first() if down else F.col(k).asc_nulls_last() for k, down in keys]
+    whole = [r.id for r in df.orderBy(*sorting).collect()]
+    place = lambda row: {k: row[k] for k, _ in keys}
+
+    page, ahead = listing.seek_page(df, keys, limit=8).collect(), []
+    first_rows = []
+    while page:
+        ahead += [r.id for r in page]
+        first_rows.append((page, place(page[0])))
+        page = listing.seek_page(df, keys, after=place(page[-1]), limit=8).collect()
+    assert ahead == whole
+    for (previous, _), (_, first) in zip(first_rows, first_rows[1:]):
+        assert listing.seek_page(df, keys, before=first, limit=8).collect() == previous
+    assert listing.seek_page(df, keys, before=first_rows[0][1]).collect() == []
+
+
+def test_seek_page_of_a_row_that_is_gone_and_of_an_empty_table(rows):
+    df, keys = _trade_rows(rows), [("date", True), ("id", False)]
+    got = listing.seek_page(df.filter("id <> 7"), keys, after={"date": D(2024, 1, 2), "id": 7}, limit=1).collect()
+    assert got[0].id == 8
+    assert listing.seek_page(df.limit(0), keys, after={"date": None, "id": 3}).collect() == []
+    with pytest.raises(ValueError):
+        listing.seek_page(df, keys, after={"date": None, "id": 1}, before={"date": None, "id": 1})
+
+
+def test_seek_condition_reaches_the_scan(spark, rows, tmp_path):
+    path = str(tmp_path / "trades")
+    _trade_rows(rows).write.parquet(path)
+    page = listing.seek_page(spark.read.parquet(path), [("date", True), ("id", False)], after={"date": D(2024, 1, 2), "id": 7})
+    pushed = next(line for line in page._jdf.queryExecution().toString().splitlines() if "PushedFilters" in line)
+    assert "LessThan(date" in pushed and "GreaterThan(id" in pushed
+
+
+def _graph(rows):
+    # a hub with 20 companies, a chain, a loop, and two nodes of one id but different types
+    data = [("person", "1", "company", str(n), "TRADED") for n in range(20)]
+    data += [("company", "3", "action", "a", "AFFECTED_BY"), ("company", "4", "action", "a", "AFFECTED_BY")]
+    data += [("company", "a", "action", "b", "AFFECTED_BY"), ("company", "5", "company", "5", "SELF")]
+    edges = rows("src_type string, src_id string, dst_type string, dst_id string, relation string", data)
+    return edges.withColumn("edge_id", F.concat_ws("|", "relation", "src_type", "src_id", "dst_type", "dst_id"))
+
+
+@pytest.mark.parametrize("cap, root, depth", [
+    (1500, ("company", "3"), 3), (1500, ("person", "1"), 1), (20, ("person", "1"), 1), (20, ("person", "1"), 2),
+    (7, ("person", "1"), 2), (21, ("company", "3"), 2), (1500, ("company", "5"), 2), (1500, ("company", "none"), 2),
+])
+def test_walk_equals_the_neighbourhood_and_tells_of_cuts(spark, rows, tmp_path, cap, root, depth):
+    edges, path = _graph(rows), str(tmp_path / "adjacency")
+    graph.store_adjacency(edges, path, parts=8, files=2)
+    got = graph.walk(spark.read.parquet(path), *root, depth, cap, parts=8).collect()
+
+    links = sorted((r.edge_id, (r.src_type, r.src_id), (r.dst_type, r.dst_id)) for r in edges.collect())
+    seen, found, cut = {root}, {}, False
+    for level in range(1, depth + 1):
+        near = [k for k, a, b in links if k not in found and (a in seen or b in seen)]
+        cut = cut or len(near) > cap - len(found)
+        found |= {k: level for k in near[:cap - len(found)]}
+        seen |= {end for k, a, b in links if k in found for end in (a, b)}
+    assert {r.edge_id: r.level for r in got} == found and len(got) == len(found)
+    assert {r.cut for r in got} <= {cut}
+    plain = graph.neighbourhood(edges, *root, depth, cap).select("edge_id", "level").collect()
+    assert {r.edge_id: r.level for r in plain} == found
+
+
+def test_walk_reads_the_parts_of_its_nodes_only(spark, rows, tmp_path):
+    path = str(tmp_path / "adjacency")
+    graph.store_adjacency(_graph(rows), path, parts=8, files=2)
+    table = spark.read.parquet(path)
+    assert table.count() == 2 * 24 - 1  # the loop lies under its node once
+    per_node = table.groupBy("node_type", "node_id").agg(F.count_distinct("part").alias("n"))
+    assert per_node.filter("n > 1").count() == 0
+    one = table.filter(F.col("part").isin([3]))
+    assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString()
