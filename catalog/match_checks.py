@@ -168,13 +168,13 @@ def resolve_prefix(b):
 
 
 @check("enrich_transactions", with_entities("WITH" + TITLE_SQL + """
-SELECT p.p_partkey AS id, o.tier, o.ticker, o.ticker IS NOT NULL AS linked
-FROM printed p JOIN outcome o USING (description)"""))
+SELECT p.p_partkey AS id, o.tier, o.ticker, CASE WHEN o.ticker IS NOT NULL THEN coalesce(CAST(k.id AS VARCHAR), sha256(o.ticker)) END AS company_id
+FROM printed p JOIN outcome o USING (description) LEFT JOIN (SELECT id, 'P' || id AS ticker FROM company) k USING (ticker)"""))
 def enrich_transactions(b):
     resolved = resolve.resolve_companies(_printed(b), _titles(b))
     known = b.company.select("id", F.concat(F.lit("P"), "id").alias("ticker"))
     stamped = resolve.stamp_companies(resolved, known)
-    return stamped.select("id", "tier", "ticker", F.col("new_company_id").isNotNull().alias("linked"))
+    return stamped.select("id", "tier", "ticker", F.col("new_company_id").alias("company_id"))
 
 
 @check("normalize_name", with_entities("WITH" + TITLE_SQL + "SELECT description, name_key FROM dkey"))
@@ -278,13 +278,17 @@ def _award_recipients(b):
 
 GAZ_SQL = """
 gaz AS (
-  SELECT item_id AS company_id, lower(regexp_extract(text, '([A-Za-z]{4,})\\s+([A-Za-z]{4,})', 1)) AS w1,
-    lower(regexp_extract(text, '([A-Za-z]{4,})\\s+([A-Za-z]{4,})', 2)) AS w2
-  FROM benchmark),
-pattern AS (SELECT company_id, '(?i)\\b' || w1 || '\\s+' || w2 || '\\b' AS p FROM gaz WHERE w1 <> ''),
+  SELECT DISTINCT item_id AS company_id, lower(ws[i]) AS w1, lower(ws[i + 1]) AS w2
+  FROM (SELECT item_id, string_split_regex(text, '\\s+') AS ws FROM benchmark), unnest(range(1, len(ws))) AS u(i)
+  WHERE regexp_full_match(ws[i], '[A-Za-z]{4,}') AND regexp_full_match(ws[i + 1], '[A-Za-z]{4,}')),
+seen AS (
+  SELECT DISTINCT doc_id, ws[i] AS w1, ws[i + 1] AS w2
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM documents), unnest(range(1, len(ws))) AS u(i)),
+pattern AS (
+  SELECT doc_id, company_id, '(?i)\\b' || w1 || '\\s+' || w2 || '\\b' AS p FROM seen JOIN gaz USING (w1, w2)),
 hit AS (
   SELECT doc_id, company_id, text, regexp_extract_all(text, p) AS found, string_split_regex(text, p) AS gaps
-  FROM documents, pattern WHERE regexp_matches(text, p)),
+  FROM documents JOIN pattern USING (doc_id) WHERE regexp_matches(text, p)),
 span AS (
   SELECT doc_id, company_id, text, i, found[i] AS match,
     CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(f) FOR f IN found[1:i-1]]), 0) AS BIGINT) AS char_start
@@ -298,12 +302,12 @@ context AS (
 
 
 def _gazetteer(b):
-    pair = r"([A-Za-z]{4,})\s+([A-Za-z]{4,})"
-    words = [F.lower(F.regexp_extract("text", pair, g)) for g in (1, 2)]
-    return b.table("benchmark").select(
+    """Every pair of neighbouring words of four letters or more of the benchmark texts."""
+    pairs = F.filter(text.adjacent_pairs(F.col("words")), lambda p: p.rlike("^[a-z]{4,} [a-z]{4,}$"))
+    return b.table("benchmark").select("item_id", F.split(F.lower("text"), r"\s+").alias("words")).select(
         F.col("item_id").alias("company_id"),
         F.concat(F.lit("T"), "item_id").alias("ticker"),
-        F.when(words[0] != "", F.concat_ws(" ", *words)).alias("name_key"),
+        F.explode_outer(F.array_distinct(pairs)).alias("name_key"),
     )
 
 

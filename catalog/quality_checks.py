@@ -243,20 +243,20 @@ def insert_counts(b):
 
 
 @check("get_or_create_person", """
-SELECT c_name AS full_name, false AS created, c_custkey AS id FROM customer
-UNION ALL SELECT DISTINCT 'Customer#' || lpad(CAST(user_id * 40 AS VARCHAR), 9, '0'), true, NULL::BIGINT FROM events
-WHERE 'Customer#' || lpad(CAST(user_id * 40 AS VARCHAR), 9, '0') NOT IN (SELECT c_name FROM customer)""")
+SELECT c_name AS full_name, false AS created, CAST(c_custkey AS VARCHAR) AS id FROM customer
+UNION ALL SELECT DISTINCT full_name, true, sha256(full_name) FROM (
+  SELECT 'Customer#' || lpad(CAST(user_id * 40 AS VARCHAR), 9, '0') AS full_name FROM events)
+WHERE full_name NOT IN (SELECT c_name FROM customer)""")
 def get_or_create_person(b):
     person = b.person.select("id", "full_name")
     names = b.table("events").select(
         F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 40).cast("string"), 9, "0")).alias("full_name")
     )
-    found = U.get_or_create(person, names, "full_name")
-    return found.select("full_name", "created", F.when(~F.col("created"), F.col("id")).alias("id"))
+    return U.get_or_create(person, names, "full_name").select("full_name", "created", "id")
 
 
 @check("run_metrics", """
-SELECT 'ingest' AS stage, day AS run_id, count(*) FILTER (WHERE error IS NULL) AS items_found, count(error) AS items_failed,
+SELECT 'ingest' AS stage, day AS run_id, count(*) FILTER (WHERE error IS NULL) AS items_found, count(error) AS items_failed, count(DISTINCT error) AS distinct_errors,
   coalesce(string_agg(DISTINCT error, '|' ORDER BY error), '') AS errors, CASE WHEN count(error) > 0 THEN 'failed' ELSE 'completed' END AS status,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS completed_at
 FROM (SELECT strftime(ts, '%Y-%m-%d') || '/' || user_id % 8 AS day, ts, CASE WHEN event_type = 'error' AND user_id % 8 <> 3 THEN 'code ' || (event_id % 4) END AS error FROM events)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .membership import key_filter, may_hold
 
 MIN_DESCRIPTION = 4
 UNBOUNDED = 2**62
@@ -42,12 +43,17 @@ def _record_keys(record: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _prefixes(key: str, others: DataFrame) -> Column:
-    """Beginnings of a normalised description that are as long as some description of `others`.
-    Only the lengths that occur come to the driver."""
-    sizes = sorted(r["size"] for r in others.select(F.length(key).alias("size")).where("size IS NOT NULL").distinct().collect())
-    wanted = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
-    return F.transform(F.filter(wanted, lambda n: n <= F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))
+def _beginnings(keys: DataFrame, others: DataFrame) -> DataFrame:
+    """`keys` once for each beginning (`part`) of their text that may be a text of the same day in
+    `others`. Beginnings are tested where they are made, so only likely partners are shuffled."""
+
+    def of_day(text: str) -> Column:
+        return F.struct("date", F.col(text).alias("text"))
+
+    known = key_filter(others.select(of_day("text").alias("key")), "key")
+    lengths = F.sequence(F.lit(MIN_DESCRIPTION), F.length("text"))
+    parts = F.transform(lengths, lambda n: F.substring(F.col("text"), F.lit(1), n))
+    return keys.withColumn("part", F.explode(parts)).filter(may_hold(known, of_day("part")))
 
 
 REC = ["date", "rec_min", "rec_max"]
@@ -78,11 +84,11 @@ def match_records(trade: DataFrame, company: DataFrame, record: DataFrame) -> Da
     our_texts = _first_trade(ours, "text")
     rec_texts = _record_keys(theirs, "text")
     # the record's text begins with ours, or ours begins with the record's: two equi-joins
-    ours_shorter = rec_texts.withColumn("part", F.explode(_prefixes("text", our_texts))).join(
+    ours_shorter = _beginnings(rec_texts, our_texts).join(
         our_texts.withColumnRenamed("text", "part"), ["date", "part"]
     )
     ours_longer = rec_texts.withColumn("part", F.col("text")).join(
-        our_texts.withColumn("part", F.explode(_prefixes("text", rec_texts))).drop("text"), ["date", "part"]
+        _beginnings(our_texts, rec_texts).drop("text"), ["date", "part"]
     )
     by_text = (
         ours_shorter.select(*REC, "text", "our_min", "our_max", "trade_id")

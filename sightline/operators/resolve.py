@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .membership import key_filter, may_hold
 
 MIN_KEY, SPECIFIC_LENGTH = 3, 9
 
@@ -74,16 +75,17 @@ def resolve_companies(trade: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def new_companies(resolved: DataFrame, company: DataFrame) -> DataFrame:
-    """Companies to create: resolved tickers that are not known yet, each once."""
+    """Companies to create: resolved tickers that are not known yet, each once. Their id is the
+    SHA-256 of the ticker, so two tickers never share one."""
     found = resolved.filter(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.min("title").alias("name"))
     return found.join(company.select("ticker"), "ticker", "left_anti").select(
-        F.xxhash64("ticker").alias("id"), "name", "ticker"
+        F.sha2(F.encode("ticker", "UTF-8"), 256).alias("id"), "name", "ticker"
     )
 
 
 def stamp_companies(resolved: DataFrame, company: DataFrame) -> DataFrame:
-    """Resolved trades with a company id, existing or newly created."""
-    known = company.select("id", "ticker").unionByName(new_companies(resolved, company).select("id", "ticker"))
+    """Resolved trades with a company id as text, existing or newly created."""
+    known = company.select(F.col("id").cast("string").alias("id"), "ticker").unionByName(new_companies(resolved, company).select("id", "ticker"))
     found = resolved.filter(F.col("ticker").isNotNull()).join(known.withColumnRenamed("id", "new_company_id"), "ticker", "left")
     # unresolved trades would all share the key NULL; they go past the join
     rest = resolved.filter(F.col("ticker").isNull())
@@ -94,8 +96,8 @@ def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
     """Awards whose recipient carries the first two distinctive words of a company.
 
     A needed word may be part of a longer word of the recipient. To stay an equi-join, each
-    recipient is expanded to its substrings of the lengths that company words have (a few dozen
-    at most); only the pairs found that way are checked in full.
+    recipient is expanded to its substrings, of which only those that a filter of company words
+    lets through leave the task; only the pairs found that way are checked in full.
     """
     needed = company.select(
         F.col("id").alias("company_id"),
@@ -103,25 +105,23 @@ def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
     ).filter(F.size("tokens") > 0)
     recipients = award.select("recipient").distinct().withColumn("upper", F.upper("recipient"))
     tokens = needed.select(F.get("tokens", F.lit(0)).alias("token")).distinct()
-    sizes = sorted(r["size"] for r in tokens.select(F.length("token").alias("size")).distinct().collect())
-    pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"), sizes)).alias("token"))
-    seen = tokens.join(pieces, "token")
+    pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"))).alias("token"))
+    seen = tokens.join(pieces.filter(may_hold(key_filter(tokens, "token"), F.col("token"))), "token")
     pairs = needed.withColumn("token", F.get("tokens", F.lit(0))).join(seen, "token")
     upper = F.upper("recipient")
     matched = pairs.filter(F.forall("tokens", lambda t: F.contains(upper, t))).select("company_id", "recipient")
     return award.join(matched, "recipient")
 
 
-def _pieces(upper, sizes: list[int]):
-    """Distinct substrings of the given sizes of the letter-digit runs of a text. Company words are
-    letters and digits, so one inside a recipient lies within one such run."""
+def _pieces(upper):
+    """Distinct substrings of the letter-digit runs of a text. Company words are letters and
+    digits, so one inside a recipient lies within one such run."""
     runs = F.regexp_extract_all(upper, F.lit("[A-Z0-9]+"), F.lit(0))
-    wanted = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
 
     def of_run(run):
-        fitting = F.filter(wanted, lambda n: n <= F.length(run))
-        return F.flatten(F.transform(fitting, lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(run) - n + 1), lambda at: F.substring(run, at, n)
+        starts = F.sequence(F.lit(1), F.length(run))
+        return F.flatten(F.transform(starts, lambda at: F.transform(
+            F.sequence(F.lit(1), F.length(run) - at + 1), lambda n: F.substring(run, at, n)
         )))
 
     return F.array_distinct(F.flatten(F.transform(runs, of_run)))

@@ -1,8 +1,9 @@
 """Mentions of companies and topics in texts, with verified spans.
 
-The dictionary is never crossed with the texts: texts are tokenised once into distinct
-words and adjacent word pairs, which meet the dictionary in an equi-join; offsets are
-computed for hits only. Offsets count code points, start inclusive, end exclusive.
+The dictionary is never crossed with the texts, and texts are never shuffled: each is tokenised
+once into distinct words and adjacent word pairs, those that a filter of the dictionary's terms
+lets through are located in the same pass, and only spans with their quotes meet the dictionary in
+an equi-join. Offsets count code points, start inclusive, end exclusive.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, names
 from ..functions.numeric import let
 from ..functions.text import adjacent_pairs, ascii_bounded, trimmed
+from .membership import key_filter, may_hold
 
 CONTEXT = 80
 COMPANY_CONFIDENCE, TOPIC_CONFIDENCE, METHOD = 0.6, 0.5, "gazetteer"
@@ -42,24 +44,22 @@ def _quoted(literal: Column) -> Column:
 
 
 def gazetteer_terms(gazetteer: DataFrame) -> DataFrame:
-    """One row per (company, term) with the pattern that locates it in a text."""
+    """One row per (company, term)."""
     cash = gazetteer.filter(names.usable_ticker(F.col("ticker"))).select(
-        "company_id",
-        F.concat(F.lit("$"), "ticker").alias("term"),
-        F.concat(F.lit(r"\$"), _quoted(F.col("ticker")), F.lit("(?![A-Za-z0-9_])")).alias("pattern"),
-    )
-    named = gazetteer.filter(F.col("name_key").isNotNull()).select(
-        "company_id",
-        F.col("name_key").alias("term"),
-        F.concat(
-            F.lit("(?i)(?<![A-Za-z0-9_])"),
-            F.regexp_replace("name_key", " ", r"\\s+"),
-            F.lit("(?![A-Za-z0-9_])"),
-        ).alias("pattern"),
+        "company_id", F.concat(F.lit("$"), "ticker").alias("term")
     )
+    named = gazetteer.filter(F.col("name_key").isNotNull()).select("company_id", F.col("name_key").alias("term"))
     return cash.unionByName(named)
 
 
+def term_pattern(term: Column) -> Column:
+    """The pattern that locates a term in a text: $tickers as written, names in any case and with
+    any white space between their words."""
+    end = F.lit("(?![A-Za-z0-9_])")
+    named = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), F.regexp_replace(term, " ", r"\\s+"), end)
+    return F.when(F.startswith(term, F.lit("$")), F.concat(_quoted(term), end)).otherwise(named)
+
+
 def locate(text: Column, pattern: Column) -> Column:
     """Array of (char_start, char_end, match) of all matches of a pattern in a text."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -93,21 +93,30 @@ def _verified(df: DataFrame, text: str) -> DataFrame:
     return df.filter(again == F.col("match"))
 
 
+def _known_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text, term) of the terms of texts that may be in the dictionary."""
+    known = key_filter(terms, "term")
+    found = texts.select("doc_id", "text", F.explode(_terms(F.col("text"))).alias("term"))
+    return found.filter(may_hold(known, F.col("term")))
+
+
 def company_hits(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(doc_id, company_id, pattern) of texts (doc_id, text) that contain a company's term."""
-    terms = texts.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
-    return terms.join(gazetteer_terms(gazetteer), "term").select("doc_id", "company_id", "pattern")
+    """(doc_id, company_id) of texts (doc_id, text) that contain a company's term, per term."""
+    terms = gazetteer_terms(gazetteer)
+    return _known_terms(texts, terms).select("doc_id", "term").join(terms, "term").select("doc_id", "company_id")
 
 
 def find_company_spans(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """All spans naming a company, one per (text, company, start)."""
-    hits = company_hits(texts, gazetteer)
-    spans = texts.join(hits, "doc_id").select(
-        "doc_id", "company_id", "text", F.explode(locate(F.col("text"), F.col("pattern"))).alias("span")
+    terms = gazetteer_terms(gazetteer)
+    spans = _known_terms(texts, terms).select(
+        "doc_id", "term", "text", F.explode(locate(F.col("text"), term_pattern(F.col("term")))).alias("span")
+    )
+    quoted = _verified(spans.select("doc_id", "term", "text", "span.*"), "text").select(
+        "doc_id", "term", "char_start", "char_end", context(F.col("text")).alias("quote")
     )
     return (
-        _verified(spans.select("doc_id", "company_id", "text", "span.*"), "text")
-        .withColumn("quote", context(F.col("text")))
+        quoted.join(terms, "term")
         .groupBy("doc_id", "company_id", "char_start")
         .agg(F.max_by("quote", "char_end").alias("quote"), F.max("char_end").alias("char_end"))
         .withColumns({"confidence": F.lit(COMPANY_CONFIDENCE), "method": F.lit(METHOD)})

@@ -28,12 +28,13 @@ def insert_counts(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFr
 
 
 def get_or_create(dimension: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """The dimension's keys with ids, extended by a stable id for every unknown key."""
+    """The dimension's keys with ids as text, extended by a stable id for every unknown key: the
+    SHA-256 of the key, so that two keys never share one."""
     new = names.select(key).filter(F.col(key).isNotNull()).distinct().join(
         dimension.select(key), key, "left_anti"
     )
-    return dimension.select("id", key, F.lit(False).alias("created")).unionByName(
-        new.select(F.xxhash64(key).alias("id"), key, F.lit(True).alias("created"))
+    return dimension.select(F.col("id").cast("string").alias("id"), key, F.lit(False).alias("created")).unionByName(
+        new.select(F.sha2(F.encode(key, "UTF-8"), 256).alias("id"), key, F.lit(True).alias("created"))
     )
 
 
@@ -90,19 +91,32 @@ def merge_profiles(company: DataFrame, curated: DataFrame) -> DataFrame:
     return joined.withColumns(pick).drop("_given", *[f"_{c}" for c in extra])
 
 
-def run_metrics(items: DataFrame, stage: str) -> DataFrame:
-    """One row per run of a stage from its items (run_id, at, error): what was found and
-    what failed; a run with any error has failed. Errors are kept as their distinct texts."""
+def run_metrics(items: DataFrame, stage: str, most_errors: int = 100) -> DataFrame:
+    """One row per run of a stage from its items (run_id, at, error): what was found and what
+    failed; a run with any error has failed. `errors` lists the first `most_errors` distinct texts
+    in alphabetical order, `distinct_errors` counts them all."""
+    counted = items.groupBy("run_id", "error").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n")
+    )
     failed = F.col("error").isNotNull()
-    per_run = items.groupBy("run_id").agg(
-        F.min("at").alias("started_at"), F.max("at").alias("completed_at"),
-        F.count_if(~failed).alias("items_found"), F.count_if(failed).alias("items_failed"),
-        F.array_sort(F.collect_set("error")).alias("errors"),
+    failures = F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0))
+    per_run = counted.groupBy("run_id").agg(
+        F.min("first_at").alias("started_at"), F.max("last_at").alias("completed_at"),
+        F.coalesce(F.sum(F.when(~failed, F.col("n"))), F.lit(0)).alias("items_found"),
+        failures.alias("items_failed"), F.count_if(failed).alias("distinct_errors"),
+        F.when(failures > 0, "failed").otherwise("completed").alias("status"),
+    )
+    first = Window.partitionBy("run_id").orderBy("error")
+    listed = (
+        counted.filter(failed)
+        .select("run_id", "error", F.row_number().over(first).alias("_n"))
+        .filter(F.col("_n") <= most_errors)
+        .groupBy("run_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
+        .withColumnRenamed("run_id", "_run")
     )
-    status = F.when((F.size("errors") > 0) | (F.col("items_failed") > 0), "failed").otherwise("completed")
-    return per_run.select(
-        F.lit(stage).alias("stage"), "run_id", "started_at", "completed_at", "items_found",
-        "items_failed", "errors", status.alias("status"),
+    return per_run.join(listed, F.col("run_id").eqNullSafe(F.col("_run")), "left").select(
+        F.lit(stage).alias("stage"), "run_id", "started_at", "completed_at", "items_found", "items_failed",
+        F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), "distinct_errors", "status",
     )
 
 
