@@ -13,22 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 65_536
-BITS_SET = 3
+BITS_SET = 2
 
 
 def _word(key: Column, n_words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_words)).cast("int")
 
 
+def _places(key: Column) -> list[Column]:
+    """The bits of a key in its word, from the upper end of its hash."""
+    return [F.shiftrightunsigned(F.xxhash64(key), 58 - 6 * n).bitwiseAND(F.lit(63)).cast("int") for n in range(BITS_SET)]
+
+
 def _mask(key: Column) -> Column:
-    """The bits of a key in its word, from six bits each of a second hash."""
-    mixed = F.xxhash64(key, F.lit(1))
     one = F.lit(1).cast("bigint")
-    mask = F.lit(0).cast("bigint")
-    for n in range(BITS_SET):
-        at = F.shiftrightunsigned(mixed, 6 * n).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", one, at))
-    return mask
+    first, *rest = [F.call_function("shiftleft", one, at) for at in _places(key)]
+    for bit in rest:
+        first = first.bitwiseOR(bit)
+    return first
 
 
 def key_filter(keys: DataFrame, column: str, n_words: int = WORDS) -> DataFrame:
@@ -47,4 +49,7 @@ def key_filter(keys: DataFrame, column: str, n_words: int = WORDS) -> DataFrame:
 def may_hold(known: DataFrame, key: Column, n_words: int = WORDS) -> Column:
     """False only if the key is not in the filter `known`; null for a null key."""
     word = F.get(known.scalar(), _word(key, n_words))
-    return F.when(key.isNotNull(), word.bitwiseAND(_mask(key)) == _mask(key))
+    first, *rest = [F.call_function("shiftright", word, at) for at in _places(key)]
+    for bit in rest:
+        first = first.bitwiseAND(bit)
+    return F.when(key.isNotNull(), first.bitwiseAND(F.lit(1)) == 1)
