@@ -204,3 +204,19 @@ def test_store_follows_batches(spark, world, tmp_path):
     # an event of one day reaches the trades of its window alone
     one = spark.createDataFrame([("statement", 1, dt.date(2025, 6, 30))], "kind string, event_id bigint, event_date date")
     assert M.refresh(path, *who, statement, mention, action, target, changed=one).count() == 0
+
+
+@pytest.mark.parametrize("entries,sets", [(0, 200), (2_000_000, 0)])
+def test_equals_loop_with_lists_shuffled_or_limited(spark, world, monkeypatch, entries, sets):
+    monkeypatch.setattr(C, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(C, "MANY_SETS", sets)
+    got = C.correlate(*frames(spark, world), threshold=25, max_per_trade=3)
+    rows = {(r.trade_id, r.kind, r.event_id, r.days_gap, r.signal) for r in got.collect()}
+    assert rows == by_hand(world, 25, 3)
+
+
+def test_pairs_are_not_shuffled(spark, world):
+    """Pairs are laid out after the last exchange."""
+    plan = C.correlate(*frames(spark, world))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("explode(_best")]
+    assert not any(step in above for step in ("Exchange", "Sort ", "Window", "Join"))
