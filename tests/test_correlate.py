@@ -220,3 +220,23 @@ def test_pairs_are_not_shuffled(spark, world):
     plan = C.correlate(*frames(spark, world))._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("explode(_best")]
     assert not any(step in above for step in ("Exchange", "Sort ", "Window", "Join"))
+
+
+def test_day_summary_equals_candidates(spark, world):
+    trade, filing, company, person, *events = frames(spark, world)
+    days = C.scored_trades(trade, filing, company, person).select("company_id", "topic_set", "trade_date").distinct()
+    sides = C.company_events(company, *events), C.topic_events(company, *events)
+    plain = C.day_candidates(days, *sides, 45, 30).groupBy("company_id", "trade_date").agg(
+        F.count(F.lit(1)).alias("events"), F.min("days_gap").alias("first_gap"), F.max(S.temporal(F.col("days_gap"))).alias("temporal")
+    )
+    short = C.day_summary(days, *sides, 45, 30)
+    rows = {tuple(r) for r in short.collect()}
+    assert rows == {tuple(r) for r in plain.collect()} and rows
+
+
+def test_pairs_carry_columns_of_their_trade(spark, world):
+    trade, *others = frames(spark, world)
+    pairs = C.correlate(trade, *others, max_per_trade=2, carry=["date", "type"])
+    facts = {r.id: (r.date, r.type) for r in trade.collect()}
+    rows = pairs.select("trade_id", "trade_date", "trade_type").collect()
+    assert rows and all(facts[r.trade_id] == (r.trade_date, r.trade_type) for r in rows)
