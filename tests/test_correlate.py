@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import scoring as S
-from sightline.operators.upserts import upsert_correlations
+from sightline.operators import aggregates
+from sightline.operators.upserts import PAIR, apply_verdicts, prune_stale, upsert_correlations
 from sightline.plans import correlate as C
 from sightline.plans import maintain as M
 
@@ -240,3 +241,37 @@ def test_pairs_carry_columns_of_their_trade(spark, world):
     facts = {r.id: (r.date, r.type) for r in trade.collect()}
     rows = pairs.select("trade_id", "trade_date", "trade_type").collect()
     assert rows and all(facts[r.trade_id] == (r.trade_date, r.trade_type) for r in rows)
+
+
+def test_two_runs_meet_without_shuffling_pairs(spark, world):
+    """Verdicts, stale pairs and upserts of pairs that lie together by company: nothing is exchanged above
+    the pairs, and the results are those of the joins by key alone."""
+    pairs = C.correlate(*frames(spark, world), max_per_trade=4).withColumn("id", F.concat_ws(":", *PAIR))
+    old = pairs.where("event_id % 3 <> 0").withColumns({
+        "verified": F.when(F.col("event_id") % 2 == 0, True), "reason": F.when(F.col("event_id") % 5 == 0, F.lit("seen")),
+    })
+    new, by = pairs.where("event_id % 4 <> 1"), ("company_id",)
+    given = old.select(*by, "id", F.col("verified").alias("genuine"), "reason")
+    none = pairs.withColumn("verified", F.lit(None).cast("boolean"))
+    for near, plain in (
+        (upsert_correlations(old, new, by), upsert_correlations(old, new)),
+        (prune_stale(old, new, by), prune_stale(old, new)),
+        (apply_verdicts(none, given, by), apply_verdicts(none, given)),
+    ):
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("explode(_best")]
+        columns = [*PAIR, *[c for c in ("verified", "reason") if c in plain.columns]]
+        rows = sorted(map(str, near.select(*columns).collect()))
+        assert rows == sorted(map(str, plain.select(*columns).collect())) and rows
+
+
+def test_companies_count_the_pairs_of_a_run_where_they_are(spark, world):
+    trade, filing, company, *others = frames(spark, world)
+    trade = trade.withColumns({"amount_min": F.lit(1), "amount_max": F.lit(2)})
+    firm = company.selectExpr("id", "topics", "concat('n', id) AS name", "concat('S', id) AS ticker", "'x' AS sector", "'y' AS industry")
+    pairs = C.correlate(trade, filing, company, *others).withColumn("verified", F.when(F.col("event_id") % 3 == 0, False))
+    for job in (aggregates.list_companies, aggregates.ticker_priority):
+        near, plain = job(firm, trade, filing, pairs, of_run=True), job(firm, trade, filing, pairs.drop("company_id"))
+        assert near.collect() == plain.collect() and near.count()
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(trade_id" not in plan
