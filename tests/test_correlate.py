@@ -275,3 +275,20 @@ def test_companies_count_the_pairs_of_a_run_where_they_are(spark, world):
         assert near.collect() == plain.collect() and near.count()
         plan = near._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(trade_id" not in plan
+
+
+@pytest.mark.parametrize("bytes_sent", [1 << 28, 0])
+def test_pairs_carry_facts_of_their_event(spark, world, monkeypatch, bytes_sent):
+    """Of direct and of topical events; an event without facts has NULL."""
+    monkeypatch.setattr(C, "BROADCAST_FACTS", bytes_sent)
+    action = frames(spark, world)[6]
+    facts = action.where("id % 5 <> 0").selectExpr("'action' AS kind", "id AS event_id", "action_type")
+    pairs = C.correlate(*frames(spark, world), max_per_trade=9, facts=facts)
+    told = {r.event_id: r.action_type for r in facts.collect()}
+    rows = pairs.select("trade_id", "kind", "event_id", "event_action_type", "components.specificity").collect()
+    assert {(r.specificity, r.event_action_type is None) for r in rows if r.kind == "action"} >= {(1.0, False), (0.6, False), (0.6, True)}
+    assert all(r.event_action_type == (told.get(r.event_id) if r.kind == "action" else None) for r in rows)
+    assert {r[:3] for r in map(tuple, rows)} == {r[:3] for r in by_hand(world, 25, 9)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("explode(_best")]
+    assert bytes_sent == 0 or not any(step in above for step in ("Exchange hash", "SortMergeJoin"))
