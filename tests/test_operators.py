@@ -293,3 +293,13 @@ def test_walk_reads_the_parts_of_its_nodes_only(spark, rows, tmp_path):
     assert per_node.filter("n > 1").count() == 0
     one = table.filter(F.col("part").isin([3]))
     assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString()
+
+
+def test_the_adjacency_table_holds_no_column_twice(spark, rows, tmp_path):
+    path = str(tmp_path / "adjacency")
+    edges = _graph(rows).withColumn("weight", F.lit(1.0))
+    graph.store_adjacency(edges, path, parts=4, files=2)
+    table = spark.read.parquet(path)
+    assert set(table.columns) == {"part", "node_type", "node_id", "out", "far_type", "far_id", "relation", "weight"}
+    back = graph.stored_adjacency(table).select(*edges.columns).distinct()
+    assert sorted(map(str, back.collect())) == sorted(map(str, edges.collect()))
