@@ -7,7 +7,7 @@ few of each. Only those enter the inverted lists, whose overlaps generate the ca
 sketch estimates the likeness of a candidate (or gives it, where both sets are whole), and what is
 left is verified on the full sets.
 
-Groups are never paired off: equal sets are one node; TURNS rounds tie the members of a list to one
+Groups are never paired off: equal sets are one node; TURNS rounds tie the members of a list to some
 of them and join what is alike; only members that are then still in different components meet.
 """
 
@@ -37,9 +37,15 @@ WIDTH = 192
 #: and only among sets that are larger than a sketch.
 DEVIATIONS = 6
 
-#: Rounds that tie each member of a list to one of the list, before the others are compared.
+#: Bits of the marks by which two sketches are compared where they meet; a power of two.
+MARKS = 1024
+
+#: Rounds that tie each member of a list to some of the list, before the others are compared.
 TURNS = 2
 
+#: Heads of a list in rounds after the first.
+HEADS = 8
+
 #: Distinct words kept per worker; a full store starts anew.
 STORE = 500_000
 
@@ -134,11 +140,32 @@ def lists(sets: DataFrame, similarity: float, width: int) -> DataFrame:
     return entries.select("entry.token", "entry.before", "node", "size", "own", place.alias("place"), (place < F.col("short")).alias("near"))
 
 
-def _can_be_alike(p: str, q: str, similarity: float, width: int) -> Column:
+def marked_sets(sets: DataFrame) -> DataFrame:
+    """(node, marks): MARKS bits of each sketch, every value turning the one that its low bits name. Two
+    sketches have at least as many values of one alone as they have different bits."""
+
+    def batch(part: pa.RecordBatch) -> dict:
+        marks = []
+        for sketch in part.column(1).to_pylist():
+            turned = np.bincount(np.array(sketch, np.int64) & (MARKS - 1), minlength=MARKS) & 1
+            marks.append(np.packbits(turned.astype(np.uint8)).view(np.int64))
+        return {"node": part.column(0), "marks": pa.array(marks, pa.list_(pa.int64()))}
+
+    return arrow_map(sets.select("node", "sketch"), batch, "node bigint, marks array<bigint>")
+
+
+def _most_shared(p: str, q: str) -> Column:
+    """Values that two marked sketches share at most."""
+    apart = sum((F.bit_count(F.get(f"{p}.marks", F.lit(i)).bitwiseXOR(F.get(f"{q}.marks", F.lit(i)))) for i in range(MARKS // 64)), F.lit(0))
+    return (F.col(f"{p}.own") + F.col(f"{q}.own") - apart) / 2
+
+
+def _can_be_alike(p: str, q: str, similarity: float, width: int, most: Column | None = None) -> Column:
     """Of two entries of a token: whether the sizes, and the values from there on, leave room for it.
-    What comes before the first shared value is not shared."""
+    What comes before the first shared value is not shared. `most` is another bound of what is."""
     small, large = F.least(f"{p}.size", f"{q}.size"), F.greatest(f"{p}.size", f"{q}.size")
     rest = F.least(F.col(f"{p}.own") - F.col(f"{p}.place"), F.col(f"{q}.own") - F.col(f"{q}.place"))
+    rest = rest if most is None else F.least(rest, most)
     whole = rest >= similarity / (1 + similarity) * (small + large) - 1e-9
     # retained by both are the common values up to the last one that the larger set retains
     share = similarity / (1 + similarity) * (1 + small / large)
@@ -152,24 +179,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def tied(members: DataFrame, turn: int, similarity: float, width: int) -> DataFrame:
-    """(a, b): each member of a list and the list's head, where they have different labels. In the
-    first turn lists with the same members have the same head, in others each its own."""
+    """(a, b): each member of a list and the list's heads, where they have different labels. In the
+    first turn lists with the same members have the same head; in others each has HEADS of its own, for
+    of a family of near copies a single one is unlike many that are like others."""
     entry = F.struct("node", "label", "size", "own", "place")
-    order = F.xxhash64("node", "token", F.lit(turn)) if turn else F.xxhash64("node")
-    heads = members.groupBy("token").agg(F.min_by(entry, order).alias("q"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    own = members.select("token", entry.alias("p")).join(heads.where("lo < hi").select("token", "q"), "token")
+    orders = [F.xxhash64("node", "token", F.lit(turn * HEADS + i)) for i in range(HEADS)] if turn else [F.xxhash64("node")]
+    chosen = F.array_distinct(F.array(*[F.min_by(entry, order) for order in orders]))
+    heads = members.groupBy("token").agg(chosen.alias("heads"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    heads = heads.where("lo < hi").select("token", F.explode("heads").alias("q"))
+    own = members.select("token", entry.alias("p")).join(heads, "token")
     return _ordered(own.where("p.label <> q.label").where(_can_be_alike("p", "q", similarity, width)))
 
 
-def crossing(members: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(a, b): all members of a list with different labels that can be alike."""
+def crossing(members: DataFrame, sets: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b): all members of a list with different labels that can be alike. In a family of texts that
+    are somewhat less like than that, sizes and places allow almost every pair; the marks do not."""
     mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     members = written(members.join(mixed, "token", "left_semi"), "mixed")
+    marks = marked_sets(sets.join(members.select("node").distinct(), "node", "left_semi"))
+    members = written(members.join(marks, "node"), "marked")
     p, q = members.alias("p"), members.alias("q")
     # a pair that shares the value before has met there
     fresh = ~F.coalesce(F.col("p.before") == F.col("q.before"), F.lit(False))
     smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.node") < F.col("q.node")))
-    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & fresh & (F.col("p.label") != F.col("q.label")) & _can_be_alike("p", "q", similarity, width))
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & fresh & (F.col("p.label") != F.col("q.label")) & _can_be_alike("p", "q", similarity, width) & _can_be_alike("p", "q", similarity, width, _most_shared("p", "q")))
     return _ordered(met)
 
 
@@ -242,7 +275,7 @@ def linked(
     labels = written(labels, "labels")
     for turn in range(TURNS + 1):
         members = entries.join(labels, "node")
-        pairs = tied(members, turn, similarity, width) if turn < TURNS else crossing(members, similarity, width)
+        pairs = tied(members, turn, similarity, width) if turn < TURNS else crossing(members, sets, similarity, width)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         labels = merged(labels, alike(pairs, sets, full, similarity, width))
         tried = pairs if tried is None else tried.unionByName(pairs)

@@ -163,6 +163,27 @@ def test_candidates_of_a_family_grow_with_its_size(spark, monkeypatch):
     assert sum(n for label, n in met if label == "candidates") <= 5000 and sum(n for label, n in met if label == "lists") <= 100_000
 
 
+def test_later_turns_tie_members_to_several_heads(spark):
+    members = spark.createDataFrame([(7, n, n, 100, 100, 0) for n in range(40)], "token long, node long, label long, size long, own int, place int")
+    for turn, most in ((0, 1), (1, overlap.HEADS)):
+        pairs = overlap.tied(members, turn, 0.85, 192).collect()
+        met = Counter(n for p in pairs for n in (p.a, p.b))
+        assert len(met) == 40 and len(pairs) <= 40 * most
+        assert min(met.values()) == 1 if most == 1 else min(met.values()) > 1
+
+
+def test_marks_bound_what_sketches_share(spark):
+    rnd = random.Random(9)
+    sketches = [rnd.sample(range(1 << 48), 40) for _ in range(4)]
+    sketches += [s[:30] + t[:10] for s, t in zip(sketches, sketches[1:])]
+    sets = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sketches)], "node long, own int, sketch array<long>")
+    marked = sets.join(overlap.marked_sets(sets), "node")
+    met = marked.alias("p").crossJoin(marked.alias("q")).select("p.sketch", F.col("q.sketch").alias("other"), overlap._most_shared("p", "q").alias("most"))
+    for r in met.collect():
+        assert r.most >= len(set(r.sketch) & set(r.other))
+        assert set(r.sketch) != set(r.other) or r.most == len(r.sketch)
+
+
 def test_fingerprints_by_one_permutation(spark):
     texts = crowd(2, 60)
 
