@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,13 @@ CACHE, CACHED_LENGTH = 1_000_000, 48
 NEVER = 1 << 60
 
 
-#: Plain words: letters whose lower case and normal form are the same in every library.
-PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]?)")
+#: Lines that are plain words: letters whose lower case and normal form are the same in every library, and
+#: a few marks, which the library cuts off. An apostrophe may stay with letters. Other lines have no groups;
+#: so have long ones, whose merging side by side would take the square of their length.
+PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]{1,64})([!-&(-/:-@\\[-`{-~]{0,3})\n|[^\n]*\n")
+
+#: Slots in which the pairs of the merge table are looked up; a power of two.
+SLOTS = 1 << 20
 
 
 class LetterRuns:
@@ -49,21 +55,23 @@ class LetterRuns:
         keys = left << 20 | right
         order = np.argsort(keys)
         self.keys, self.rank, self.joined = keys[order], order, joined[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self._slot(keys)] = True
+        slots = self._slot(self.keys)
+        self.place = np.zeros(SLOTS, np.int64)
+        self.place[slots] = np.arange(len(slots))
+        self.crowded = np.bincount(slots, minlength=SLOTS) > 1
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * 0x9E3779B97F4A7C1 >> 20) & ((1 << 22) - 1)
+        return (keys * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the merge table by rank, or a large number."""
         keys = left << 20 | right
-        out = np.full(keys.shape, NEVER, np.int64)
-        known = np.nonzero(self.seen[self._slot(keys)] & (right >= 0) & (left >= 0))
-        at = np.minimum(np.searchsorted(self.keys, keys[known]), len(self.keys) - 1)
-        out[known] = np.where(self.keys[at] == keys[known], self.rank[at] << 20 | at, NEVER)
-        return out
+        slots = self._slot(keys)
+        at = self.place[slots]
+        if (several := self.crowded[slots]).any():
+            at[several] = np.minimum(np.searchsorted(self.keys, keys[several]), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rank[at] << 20 | at, NEVER)
 
     def encode(self, runs: list[bytes]) -> dict[bytes, bytes]:
         by_size: dict[int, list[bytes]] = {}
@@ -77,23 +85,34 @@ class LetterRuns:
                 found.update(zip(part, self._merge(part, size), strict=True))
         return found
 
+    @staticmethod
+    def _without(values: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """`values` without one of each row."""
+        kept = np.ones(values.shape, bool)
+        kept[rows, at] = False
+        return values[kept].reshape(len(values), values.shape[1] - 1)
+
     def _merge(self, runs: list[bytes], size: int) -> list[bytes]:
         raw = np.frombuffer(b"".join(runs), np.uint8).reshape(-1, size)
         symbols = self.inner[raw]
         symbols[:, -1] = self.final[raw[:, -1]]
+        ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
         out, left = np.full(symbols.shape, -1, "<i4"), np.arange(len(runs))
         while left.size and symbols.shape[1] > 1:
-            ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
             at = ranks.argmin(1)  # lowest rank, leftmost among equals
             best = ranks[np.arange(len(at)), at]
             if (done := best == NEVER).any():
                 out[left[done], : symbols.shape[1]] = symbols[done]
-                left, symbols, at, best = left[~done], symbols[~done], at[~done], best[~done]
-            rows = np.arange(len(at))
+                left, symbols, ranks, at, best = left[~done], symbols[~done], ranks[~done], at[~done], best[~done]
+            rows, width = np.arange(len(at)), symbols.shape[1] - 1
             symbols[rows, at] = self.joined[best & ((1 << 20) - 1)]
-            kept = np.ones(symbols.shape, bool)
-            kept[rows, at + 1] = False
-            symbols = symbols[kept].reshape(len(rows), symbols.shape[1] - 1)
+            symbols = self._without(symbols, rows, at + 1)
+            ranks = self._without(ranks, rows, at)
+            # only the pairs on both sides of the joined symbol are new
+            before, after = at > 0, at < width - 1
+            row = np.concatenate((rows[before], rows[after]))
+            new = np.concatenate((at[before] - 1, at[after]))
+            ranks[row, new] = self._ranks(symbols[row, new], symbols[row, new + 1])
         out[left, : symbols.shape[1]] = symbols
         sizes = (out >= 0).sum(1).tolist()
         return [row[: 4 * n] for row, n in zip(map(bytes, out), sizes, strict=True)]
@@ -121,18 +140,17 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct `words`."""
+        lines = b"\n".join([*words, b""]).decode().lower()
+        plain = PLAIN.findall(lines)
+        runs = self.runs.encode([run.encode() for run in {run for run, _ in plain if run}])
         found: dict[bytes, bytes] = {}
-        plain: list[tuple[bytes, bytes, str]] = []
-        for word in words:
-            if m := PLAIN.fullmatch(word.decode().lower()):
-                plain.append((word, m[1].encode(), m[2]))
-            else:
+        for word, (run, mark) in zip(words, plain, strict=True):
+            if not run:
                 found[word] = self._ids(word.decode())
-        runs = self.runs.encode(list({run for _, run, _ in plain}))
-        for word, run, mark in plain:
-            if mark not in self.marks:
-                self.marks[mark] = self._ids(mark)
-            found[word] = runs[run] + self.marks[mark]
+            else:
+                if mark not in self.marks:
+                    self.marks[mark] = self._ids(mark)
+                found[word] = runs[run.encode()] + self.marks[mark]
         return found
 
     def _ids(self, text: str) -> bytes:
@@ -149,17 +167,16 @@ class WordEncoder:
             split = [t.split() for t in texts[at:upto]]
             if len(self.known) > CACHE:
                 self.known.clear()
-            new: set[bytes] = set()
-            for words in split:
-                new.update(words)
-            new.difference_update(self.known)
-            found = self.learn(list(new))
-            long = {w: ids for w, ids in found.items() if len(w) > CACHED_LENGTH}
+            ids = dict.fromkeys(chain.from_iterable(split))
+            found = self.learn(list(set(ids).difference(self.known)))
             self.known.update(found)
+            for word in ids:
+                ids[word] = self.known[word]
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
-            for word in long:
-                del self.known[word]
+                yield b"".join(map(ids.__getitem__, words))
+            for word in found:
+                if len(word) > CACHED_LENGTH:
+                    del self.known[word]
             at = upto
 
 

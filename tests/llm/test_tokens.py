@@ -122,3 +122,20 @@ def test_packing_loses_nothing(spark, word_library, parts):
     total = sum(map(len, ids.values()))
     assert len(by_sequence) * size <= 1.15 * total + 4 * size * parts
     assert packing.pack(docs.limit(0), vocabulary("word_bpe_49k.json")).collect() == []
+
+
+def test_words_before_marks_are_merged_together(word_library):
+    rnd = random.Random(8)
+    letters = ["".join(rnd.choice("aehinorstéüß") for _ in range(rnd.randint(1, 14))) for _ in range(400)]
+    marks = ["", "$$$", "&&&", ",%%%", ".***", "!!", "<|", "|>", "'", "'s", "$$$$$", "-", "´"]
+    words = [w + rnd.choice(marks) for w in letters] + ["ORT!!", "Σας", "İx", "x" * 3000, "<|endoftext|>", "ab<|endoftext|>&&"]
+    mine = packing.WordEncoder(vocabulary("word_bpe_49k.json"))
+    asked = []
+    ids = mine._ids
+    mine._ids = lambda text: asked.append(text) or ids(text)
+    texts = [" ".join(words[:200]), "\n".join(words[200:]), "", words[0]]
+    for text, got in zip(texts, mine.encode_batch([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == word_library.encode(text, add_special_tokens=False).ids
+    # one call for each mark, not for each word that ends in it
+    assert len([a for a in asked if "$$$" in a and "$$$$" not in a]) == 1
+    assert "x" * 3000 in asked
