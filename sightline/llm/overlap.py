@@ -140,24 +140,38 @@ def lists(sets: DataFrame, similarity: float, width: int) -> DataFrame:
     return entries.select("entry.token", "entry.before", "node", "size", "own", place.alias("place"), (place < F.col("short")).alias("near"))
 
 
+def marks_of(values: np.ndarray) -> np.ndarray:
+    """MARKS bits, every value turning the one that its low bits name. Two sets have at least as many
+    values of one alone as their marks have different bits."""
+    turned = np.bincount((values & values.dtype.type(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 def marked_sets(sets: DataFrame) -> DataFrame:
-    """(node, marks): MARKS bits of each sketch, every value turning the one that its low bits name. Two
-    sketches have at least as many values of one alone as they have different bits."""
+    """(node, marks) of each sketch."""
 
     def batch(part: pa.RecordBatch) -> dict:
-        marks = []
-        for sketch in part.column(1).to_pylist():
-            turned = np.bincount(np.array(sketch, np.int64) & (MARKS - 1), minlength=MARKS) & 1
-            marks.append(np.packbits(turned.astype(np.uint8)).view(np.int64))
+        marks = [marks_of(np.array(sketch, np.int64)) for sketch in part.column(1).to_pylist()]
         return {"node": part.column(0), "marks": pa.array(marks, pa.list_(pa.int64()))}
 
     return arrow_map(sets.select("node", "sketch"), batch, "node bigint, marks array<bigint>")
 
 
+def _apart(p: str, q: str) -> Column:
+    """Different bits of two columns of marks."""
+    return sum((F.bit_count(F.get(p, F.lit(i)).bitwiseXOR(F.get(q, F.lit(i)))) for i in range(MARKS // 64)), F.lit(0))
+
+
+def marks_allow(p: str, q: str, similarity: float) -> Column:
+    """Of two rows with the marks of their full sets in `whole`: whether so few values may be of one
+    alone that the sets are alike. A pair that is alike is always allowed."""
+    most = (1 - similarity) / (1 + similarity) * (F.col(f"{p}.size") + F.col(f"{q}.size"))
+    return _apart(f"{p}.whole", f"{q}.whole") <= most + 1e-9
+
+
 def _most_shared(p: str, q: str) -> Column:
     """Values that two marked sketches share at most."""
-    apart = sum((F.bit_count(F.get(f"{p}.marks", F.lit(i)).bitwiseXOR(F.get(f"{q}.marks", F.lit(i)))) for i in range(MARKS // 64)), F.lit(0))
-    return (F.col(f"{p}.own") + F.col(f"{q}.own") - apart) / 2
+    return (F.col(f"{p}.own") + F.col(f"{q}.own") - _apart(f"{p}.marks", f"{q}.marks")) / 2
 
 
 def _can_be_alike(p: str, q: str, similarity: float, width: int, most: Column | None = None) -> Column:
@@ -182,27 +196,38 @@ def tied(members: DataFrame, turn: int, similarity: float, width: int) -> DataFr
     """(a, b): each member of a list and the list's heads, where they have different labels. In the
     first turn lists with the same members have the same head; in others each has HEADS of its own, for
     of a family of near copies a single one is unlike many that are like others."""
-    entry = F.struct("node", "label", "size", "own", "place")
+    whole = "whole" in members.columns
+    entry = F.struct("node", "label", "size", "own", "place", *(["whole"] if whole else []))
     orders = [F.xxhash64("node", "token", F.lit(turn * HEADS + i)) for i in range(HEADS)] if turn else [F.xxhash64("node")]
     chosen = F.array_distinct(F.array(*[F.min_by(entry, order) for order in orders]))
     heads = members.groupBy("token").agg(chosen.alias("heads"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     heads = heads.where("lo < hi").select("token", F.explode("heads").alias("q"))
     own = members.select("token", entry.alias("p")).join(heads, "token")
-    return _ordered(own.where("p.label <> q.label").where(_can_be_alike("p", "q", similarity, width)))
+    own = own.where("p.label <> q.label").where(_can_be_alike("p", "q", similarity, width))
+    return _ordered(own.where(marks_allow("p", "q", similarity)) if whole else own)
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """The members of lists in which labels differ."""
+    tokens = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    return members.join(tokens, "token", "left_semi")
 
 
 def crossing(members: DataFrame, sets: DataFrame, similarity: float, width: int) -> DataFrame:
     """(a, b): all members of a list with different labels that can be alike. In a family of texts that
     are somewhat less like than that, sizes and places allow almost every pair; the marks do not."""
-    mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    members = written(members.join(mixed, "token", "left_semi"), "mixed")
+    members = written(mixed(members), "mixed")
     marks = marked_sets(sets.join(members.select("node").distinct(), "node", "left_semi"))
     members = written(members.join(marks, "node"), "marked")
     p, q = members.alias("p"), members.alias("q")
     # a pair that shares the value before has met there
     fresh = ~F.coalesce(F.col("p.before") == F.col("q.before"), F.lit(False))
     smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.node") < F.col("q.node")))
-    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & fresh & (F.col("p.label") != F.col("q.label")) & _can_be_alike("p", "q", similarity, width) & _can_be_alike("p", "q", similarity, width, _most_shared("p", "q")))
+    likely = _can_be_alike("p", "q", similarity, width)
+    if "whole" in members.columns:
+        likely &= marks_allow("p", "q", similarity)
+    likely &= _can_be_alike("p", "q", similarity, width, _most_shared("p", "q"))
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & F.col("p.near") & smaller & fresh & (F.col("p.label") != F.col("q.label")) & likely)
     return _ordered(met)
 
 
@@ -263,7 +288,9 @@ def linked(
 ) -> DataFrame:
     """(node, label) of the nodes of `sets` (node, size, sketch) that are in lists: components over all
     pairs at least as like as `similarity`. `labels` may join some nodes from the start; pairs in
-    `tried` (a, b; a > b) are known and left out."""
+    `tried` (a, b; a > b) are known and left out. If `sets` has the marks of the full sets (`whole`,
+    by `marks_of`), pairs that these exclude are no candidates after the first round: of a family of
+    texts somewhat less like, larger than their sketches, the sketches leave every pair."""
     entries = written(lists(sets, similarity, width), "entries")
     several = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     entries = written(entries.join(several, "token", "left_semi"), "lists")
@@ -275,6 +302,8 @@ def linked(
     labels = written(labels, "labels")
     for turn in range(TURNS + 1):
         members = entries.join(labels, "node")
+        if turn and "whole" in sets.columns:
+            members = written(mixed(members).join(sets.select("node", "whole"), "node"), "met")
         pairs = tied(members, turn, similarity, width) if turn < TURNS else crossing(members, sets, similarity, width)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         labels = merged(labels, alike(pairs, sets, full, similarity, width))

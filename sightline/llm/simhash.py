@@ -192,13 +192,14 @@ def _likely(p: str, q: str, similarity: float) -> Column:
 
 
 def _stars(members: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each member of a value tied to its head, and the heads of close values."""
+    """(a, b): each member of a value tied to its head, and the heads of close values, unless the marks
+    of their full sets exclude them."""
     order = F.xxhash64("node")
-    heads = written(members.groupBy("val").agg(F.min_by(F.struct("node", "size"), order).alias("h")), "heads")
-    own = members.join(heads, "val").where("node <> h.node")
-    own = own.where(_likely("size", "h.size", similarity)).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
+    heads = written(members.groupBy("val").agg(F.min_by(F.struct("node", "size", "whole"), order).alias("h")), "heads")
+    own = members.select("val", F.struct("node", "size", "whole").alias("m")).join(heads, "val").where("m.node <> h.node")
+    own = own.where(_likely("m.size", "h.size", similarity) & overlap.marks_allow("m", "h", similarity)).select(F.col("m.node").alias("a"), F.col("h.node").alias("b"))
     across = close.join(heads.select(F.col("val").alias("v"), F.col("h").alias("p")), "v").join(heads.select(F.col("val").alias("w"), F.col("h").alias("q")), "w")
-    across = across.where("p.node <> q.node").where(_likely("p.size", "q.size", similarity)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    across = across.where("p.node <> q.node").where(_likely("p.size", "q.size", similarity) & overlap.marks_allow("p", "q", similarity)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     both = own.unionByName(across)
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -220,7 +221,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     At a likeness of 0.8 two fingerprints differ in 15 of 100 bits, so no small ball finds every such
     pair. The exact rest is a similarity join of what is not yet in one group: on sketches of the
     shingle sets, the rarest values first, with length and position filters (`overlap.linked`), so
-    that texts of one template meet only if they can be alike. Every link is verified on the full
+    that texts of one template meet only if they can be alike, and everywhere a bound on the values of
+    one full set alone, from marks of 1024 bits, refuses pairs before they are listed. Every link is verified on the full
     sets; a pair is missed once in about 10^8.
     Texts without words are alike only if equal; rows with a null key are left alone.
     """
@@ -228,20 +230,21 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     kind = narrow.schema[0].dataType.simpleString()
 
     def batch(part: pa.RecordBatch) -> dict:
-        wide, size, sketch = [], [], []
+        wide, size, sketch, whole = [], [], [], []
         for t in part.column(1).to_pylist():
             hashes = shingle_hashes(t, words)
             wide.append(_wide(hashes))
             hashes = np.unique(hashes)
             size.append(len(hashes))
             sketch.append(overlap.retained(hashes, WIDTH))
+            whole.append(overlap.marks_of(hashes))
         longs = pa.list_(pa.int64())
-        return {"_key": part.column(0), "copy": part.column(2), "wide": pa.array(wide, longs), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, longs)}
+        return {"_key": part.column(0), "copy": part.column(2), "wide": pa.array(wide, longs), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, longs), "whole": pa.array(whole, longs)}
 
-    marked = written(arrow_map(narrow, batch, f"_key {kind}, copy string, wide array<bigint>, size bigint, sketch array<bigint>"), "wide")
-    named = marked.groupBy("copy").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("wide", "size", "sketch")])
+    marked = written(arrow_map(narrow, batch, f"_key {kind}, copy string, wide array<bigint>, size bigint, sketch array<bigint>, whole array<bigint>"), "wide")
+    named = marked.groupBy("copy").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("wide", "size", "sketch", "whole")])
     named = written(named.withColumn("node", F.monotonically_increasing_id()), "copies")
-    sets = named.where("size > 0").select("node", "size", "sketch")
+    sets = named.where("size > 0").select("node", "size", "sketch", "whole")
 
     halves = F.flatten(F.transform("wide", lambda w: F.array(_upper(w), _lower(w))))
     values = F.transform(halves, lambda v, i: F.shiftleft(i.cast("bigint"), HALF) + v)
@@ -250,7 +253,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     # texts that share a ball with another
     several = held.groupBy("val").agg(F.count("*").alias("n")).where("n > 1").select("val")
     several = several.union(close.select("v")).union(close.select("w")).distinct()
-    held = written(held.join(several, "val", "left_semi"), "shared")
+    held = written(held.join(several, "val", "left_semi").join(named.select("node", "whole"), "node"), "shared")
 
     def cut(part: pa.RecordBatch) -> dict:
         found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]

@@ -184,6 +184,45 @@ def test_marks_bound_what_sketches_share(spark):
         assert set(r.sketch) != set(r.other) or r.most == len(r.sketch)
 
 
+def test_families_below_the_likeness_give_few_candidates(spark, monkeypatch):
+    """Texts larger than their sketches, each pair at a likeness of about 0.7, and some links."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7)))
+    template, texts = [word() for _ in range(300)], []
+    for i in range(80):
+        own = list(template)
+        for at in rnd.sample(range(300), 5):
+            own[at] = word()
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            texts.append(" ".join([*own, word()]))
+    asked, alike = [], overlap.alike
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(overlap, "alike", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    expected, _ = by_likeness(texts, 0.8)
+    assert [got[i] for i in range(len(texts))] == expected and len(set(expected)) > 60
+    assert sum(asked) < 4 * len(texts)  # of 3828 pairs
+
+
+def test_marks_of_full_sets_refuse_no_link(spark):
+    rnd = random.Random(14)
+    whole = [np.array([rnd.getrandbits(64) for _ in range(rnd.randint(1, 900))], np.uint64) for _ in range(12)]
+    whole += [np.concatenate((s[: round(len(s) * share)], np.array([rnd.getrandbits(64)], np.uint64))) for s in whole for share in (0.8, 0.85, 0.9)]
+    rows = [(i, len(s), overlap.marks_of(s).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(whole)]
+    sets = spark.createDataFrame(rows, "node long, size long, whole array<long>, hashes array<long>")
+    p, q = sets.alias("p"), sets.alias("q")
+    shared = F.size(F.array_intersect("p.hashes", "q.hashes"))
+    met = p.crossJoin(q).select((shared >= 0.8 * (F.col("p.size") + F.col("q.size") - shared)).alias("alike"), overlap.marks_allow("p", "q", 0.8).alias("allowed"))
+    seen = {(r.alike, r.allowed): r["count"] for r in met.groupBy("alike", "allowed").count().collect()}
+    assert (True, False) not in seen and seen[True, True] > len(rows) and seen[False, False] > 1000
+
+
 def test_fingerprints_by_one_permutation(spark):
     texts = crowd(2, 60)
 
