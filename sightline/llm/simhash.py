@@ -9,6 +9,9 @@ side alone. Fetched matches are verified on the complete distance.
 Groups of copies are never paired off. Equal fingerprints are one node. Fingerprints at most two
 bits apart, which are tied to the least in their common ball of radius one, form first
 components; probing then concerns only table entries where different components meet.
+
+Balls are made by explode, which the planner's size check does not see: it would send all of their
+values to the driver for their few fingerprints. So every join on them is hinted to sort both sides.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def _tied(nodes: DataFrame) -> DataFrame:
     """Edges from fingerprints to the least one in each ball of radius one that they share."""
     near = nodes.select("bits", F.explode(_ball(F.col("bits"), 64)).alias("at"))
     least = near.groupBy("at").agg(F.min("bits").alias("b"), F.max("bits").alias("m")).where("b < m").select("at", "b")
-    return near.join(least, "at").where("bits <> b").select(F.col("bits").alias("a"), "b").distinct()
+    return near.join(least.hint("merge"), "at").where("bits <> b").select(F.col("bits").alias("a"), "b").distinct()
 
 
 def _entries(labelled: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def _crossing(labelled: DataFrame) -> DataFrame:
     fingerprints verified once, at the place that its differing bits name."""
     entries = _entries(labelled)
     shared = entries.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("at")
-    met = written(entries.join(shared, "at", "left_semi"), "entries")
+    met = written(entries.join(shared.hint("merge"), "at", "left_semi"), "entries")
     p, q = met.alias("p"), met.alias("q")
     apart = F.bit_count(F.col("p.bits").bitwiseXOR(F.col("q.bits")))
     upper = F.bit_count(_upper(F.col("p.bits").bitwiseXOR(F.col("q.bits"))))
@@ -121,7 +124,7 @@ def _crossing(labelled: DataFrame) -> DataFrame:
     )
     place_low = (F.col("p.at") < 0) & (upper > 2) & (F.col("q.flip") < 0)
     links = p.join(
-        q,
+        q.hint("merge"),
         (F.col("p.at") == F.col("q.at")) & (F.col("p.label") != F.col("q.label"))
         & (apart <= RADIUS) & (place_up | place_low),
     )
@@ -182,7 +185,7 @@ def _close(held: DataFrame) -> DataFrame:
     turned = F.col("p.val").bitwiseXOR(F.col("q.val"))
     # one bit apart they meet in the lesser, two bits apart where the lesser has turned its lower bit
     place = F.when(F.bit_count(turned) == 1, F.col("p.val")).otherwise(F.col("p.val").bitwiseXOR(turned.bitwiseAND(-turned)))
-    met = p.join(q, (F.col("p.at") == F.col("q.at")) & (F.col("p.val") < F.col("q.val")) & (F.col("p.at") == place))
+    met = p.join(q.hint("merge"), (F.col("p.at") == F.col("q.at")) & (F.col("p.val") < F.col("q.val")) & (F.col("p.at") == place))
     return met.select(F.col("p.val").alias("v"), F.col("q.val").alias("w"))
 
 

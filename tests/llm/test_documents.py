@@ -80,6 +80,22 @@ def test_simhash_links_of_every_distance(spark):
     assert groups([got[s] for s in signed]) == groups(expected)
 
 
+def test_balls_are_never_sent_to_the_driver(spark, monkeypatch):
+    """A few fingerprints are small for the planner; the values of their balls are many times that."""
+    plans = []
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "written", planned)
+    nodes = spark.range(50).select(F.xxhash64("id").alias("bits"))
+    planned(simhash._tied(nodes), "tied")
+    planned(simhash._crossing(nodes.withColumn("label", F.col("bits"))), "crossing")
+    planned(simhash._close(nodes.select(simhash._lower(F.col("bits")).alias("val"))), "close")
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_similar_groups_join_copies_and_spare_others(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
