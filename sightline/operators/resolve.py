@@ -9,6 +9,8 @@ from ..functions import names
 from .membership import key_filter, may_hold
 
 MIN_KEY, SPECIFIC_LENGTH = 3, 9
+# Shares into which the awards of one recipient are dealt.
+DEALS = 16
 
 
 def name_map(titles: DataFrame) -> DataFrame:
@@ -93,24 +95,45 @@ def stamp_companies(resolved: DataFrame, company: DataFrame) -> DataFrame:
 
 
 def recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
-    """Awards whose recipient carries the first two distinctive words of a company.
+    """Awards whose recipient carries the first two distinctive words of a company, once for each such
+    company.
+
+    Words are compared once for each distinct word list and recipient (`_carried`); companies and awards
+    meet on what was found. That may be many pairs of few recipients, so both are dealt over the
+    configured number of tasks, which is not lowered, nor a side broadcast, for their small size.
+    """
+    own, carried = _carried(company, award)
+    matched = own.join(carried, "tokens").select("company_id", "recipient", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
+    tasks = int(award.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = award.withColumn("_deal", F.pmod(F.xxhash64(*award.columns), F.lit(DEALS)).cast("int"))
+    return dealt.repartition(tasks, "recipient", "_deal").join(matched.hint("merge"), ["recipient", "_deal"]).drop("_deal")
+
+
+def first_recipient_matches(company: DataFrame, award: DataFrame) -> DataFrame:
+    """`recipient_matches` with the smallest company id of each award alone: no other pair is made."""
+    own, carried = _carried(company, award)
+    first = own.groupBy("tokens").agg(F.min("company_id").alias("company_id"))
+    return award.join(carried.join(first, "tokens").groupBy("recipient").agg(F.min("company_id").alias("company_id")), "recipient")
+
+
+def _carried(company: DataFrame, award: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(company_id, tokens) of the companies with a needed word, and (tokens, recipient): the word lists
+    that a recipient carries.
 
     A needed word may be part of a longer word of the recipient. To stay an equi-join, each
     recipient is expanded to its substrings, of which only those that a filter of company words
     lets through leave the task; only the pairs found that way are checked in full.
     """
-    needed = company.select(
-        F.col("id").alias("company_id"),
-        F.slice(names.distinctive_tokens(F.col("name")), 1, 2).alias("tokens"),
-    ).filter(F.size("tokens") > 0)
+    # exploded, for a filter of the words would be moved below the reduction to distinct names
+    words = F.explode(F.array(F.slice(names.distinctive_tokens(F.col("name")), 1, 2))).alias("tokens")
+    named = company.select("name").distinct().select("name", words).filter(F.size("tokens") > 0)
+    own = company.select(F.col("id").alias("company_id"), "name").join(named, "name").select("company_id", "tokens")
+    needed = named.select("tokens").distinct().withColumn("token", F.get("tokens", F.lit(0)))
     recipients = award.select("recipient").distinct().withColumn("upper", F.upper("recipient"))
-    tokens = needed.select(F.get("tokens", F.lit(0)).alias("token")).distinct()
     pieces = recipients.select("recipient", F.explode(_pieces(F.col("upper"))).alias("token"))
-    seen = tokens.join(pieces.filter(may_hold(key_filter(tokens, "token"), F.col("token"))), "token")
-    pairs = needed.withColumn("token", F.get("tokens", F.lit(0))).join(seen, "token")
+    seen = pieces.filter(may_hold(key_filter(needed, "token"), F.col("token")))
     upper = F.upper("recipient")
-    matched = pairs.filter(F.forall("tokens", lambda t: F.contains(upper, t))).select("company_id", "recipient")
-    return award.join(matched, "recipient")
+    return own, needed.join(seen, "token").filter(F.forall("tokens", lambda t: F.contains(upper, t))).select("tokens", "recipient")
 
 
 def _pieces(upper):

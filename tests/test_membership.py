@@ -40,6 +40,22 @@ def test_mentions_shuffle_no_text(rows):
     assert not any(re.search(r"\btext#", columns) for columns in exchanged(spans.company_hits(texts, gaz)))
 
 
+def test_recipients_are_compared_once_and_dealt(spark, rows):
+    """Many companies of one name and many awards of one recipient: words are compared once, and the
+    pairs are made in more than one task."""
+    firms = spark.range(40).select("id", F.lit("Rockets Acme Holdings").alias("name")).unionByName(rows("id bigint, name string", [(90, "Co"), (91, None), (92, "Boeing")]))
+    awards = spark.range(60).select(F.lit("The ACMEROCKETS LLC").alias("recipient"), F.col("id").alias("award")).unionByName(
+        rows("recipient string, award bigint", [("MacBoeings", 70), ("Rockets", 71), (None, 72)]))
+    pairs = resolve.recipient_matches(firms, awards)
+    dealt = pairs.select("company_id", "award", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.company_id, r.award) for r in dealt) == sorted([(c, a) for c in range(40) for a in range(60)] + [(92, 70)])
+    assert len({r.task for r in dealt}) > 1
+    first = resolve.first_recipient_matches(firms, awards)
+    assert {r.award: r.company_id for r in first.collect()} == {a: 0 for a in range(60)} | {70: 92}
+    made = [n for df in (resolve._carried(firms, awards)[1], first) for n in [df.count()]]
+    assert made == [2, 61]
+
+
 def test_beginnings_match_a_plain_loop(spark, rows):
     rnd = random.Random(4)
 
