@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import dates, fixed
 from ..functions.numeric import half_up
 from ..functions.text import action_type_of_title, content_key, post_to_text, trimmed
-from ..operators.resolve import recipient_matches
+from ..operators.resolve import first_recipient_matches
 from ..operators.upserts import insert_if_new
 
 RECORD_SCHEMA = (
@@ -116,7 +116,7 @@ def parse_awards(pages: DataFrame) -> DataFrame:
 def link_contracts(awards: DataFrame, company: DataFrame, action: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New contract actions of accepted recipients, and their links to companies. An award
     that several companies match goes to the one with the smallest id."""
-    accepted = recipient_matches(company, awards)
+    accepted = first_recipient_matches(company, awards)
     new = insert_if_new(action, accepted, ["source", "source_ref"], [F.asc("company_id")])
     targets = new.select(
         "source", "source_ref", "company_id",
