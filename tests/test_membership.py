@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from catalog import match_checks
+from catalog.bindings import Bound
 from sightline.operators import reconcile, resolve, spans, superseding, upserts
 from sightline.operators.membership import key_filter, may_hold
 
@@ -87,6 +89,26 @@ def test_beginnings_match_a_plain_loop(spark, rows):
     assert {r.record_id: r.trade_id for r in matched.collect()} == want and any(want.values())
 
 
+def test_descriptions_are_normalised_as_by_words(rows):
+    noise = reconcile.names.fixed.DESCRIPTION_NOISE.replace("SHS?", "SH|SHS").split("|")
+    texts = ["The Acme Co., Inc.", "CO", " co-op  The THE com\tX", "Équity élan", "SHSS SHS SH S", "a&b corporation/class cl", "", None, "COM COMET  COMMON-STOCK", "\u00a0ltd\u00a0x"]
+    got = rows("t string", [(t,) for t in texts]).select("t", reconcile.names.normalize_description(F.col("t")).alias("d")).collect()
+    for t, d in got:
+        words = re.sub("[^A-Z0-9 ]", " ", t.upper()).split() if t is not None else []
+        assert d == (None if t is None else " ".join(w for w in words if w not in noise))
+
+
+def test_matching_reads_its_trades_from_one_table(spark):
+    """Both sides, which are read several times, come from a table that is written once, and are
+    shuffled by their matching keys alone."""
+    b = Bound(spark, "/root/testdata/sf0.001")
+    matched = match_checks._matches(b)
+    assert not [f for f in matched.inputFiles() if "/root/testdata" in f]
+    keys = [m.split(", ") for m in re.findall(r"hashpartitioning\(([^)]*), \d+\)", matched._jdf.queryExecution().executedPlan().toString())]
+    tickers = [k for k in keys if any(c.startswith("ticker#") for c in k)]
+    assert tickers and not any(c.startswith(("our_min#", "amount_min#", "company_id#")) for k in tickers for c in k)
+
+
 def test_candidates_of_nearly_alike_texts(rows):
     """A day of different texts on one template that stay below the limit: most pairs are left out
     before they are compared, and the result is that of all pairs."""
