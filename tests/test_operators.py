@@ -303,3 +303,24 @@ def test_the_adjacency_table_holds_no_column_twice(spark, rows, tmp_path):
     assert set(table.columns) == {"part", "node_type", "node_id", "out", "far_type", "far_id", "relation", "weight"}
     back = graph.stored_adjacency(table).select(*edges.columns).distinct()
     assert sorted(map(str, back.collect())) == sorted(map(str, edges.collect()))
+
+
+def test_pages_are_searched_once(rows, monkeypatch):
+    """What finds the rows runs in one job, over what it stores; types and numbers read that."""
+    plans, stored = [], pages._stored
+
+    def planned(found):
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return stored(found)
+
+    monkeypatch.setattr(pages, "_stored", planned)
+    text = "Form Transactions\nAgo\n1 Acme Corp Sale 02/03/2025 Yes $1,001 - $15,000\n2 Beta Inc Ourchaso 13/03/2025 01/04/2025 No $15,001 - $50,000"
+    page = rows("filing string, page int, text string, filing_year int", [("f", 1, text, 2025), ("f", 2, text, 2025), ("g", 1, None, 2025)])
+    found = pages.extract_rows(page)
+    assert len(plans) == 1
+    # the numbers and types look at what was stored, and nothing looks for a row's amounts or dates again
+    later = found._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in later and "BroadcastHashJoin [filing" not in later
+    got = [tuple(r) for r in found.orderBy("filing", "row_number").select("filing", "page", "row_number", "type", "date", "late", "band").collect()]
+    assert got == [(*n, *r) for n, r in zip(
+        [("f", 1, 1), ("f", 1, 2), ("f", 2, 3), ("f", 2, 4)], [("Sale", "2025-02-03", True, 1), ("Purchase", "2025-01-04", False, 2)] * 2, strict=True)]
