@@ -236,6 +236,24 @@ def test_day_summary_equals_candidates(spark, world):
     assert rows == {tuple(r) for r in plain.collect()} and rows
 
 
+def test_candidates_of_both_tiers_are_direct_and_not_shuffled(spark, rows):
+    """An event of both tiers is one direct candidate; the tiers meet before they are paired with days."""
+    D = dt.date
+    days = rows("company_id int, topic_set string, trade_date date", [(1, "x", D(2025, 1, 1)), (1, "x", D(2025, 3, 1)), (2, "x", D(2025, 1, 2)), (3, "", D(2025, 1, 1))])
+    event = "kind string, event_id int, event_date date, impact int"
+    named = rows(f"company_id int, {event}", [(1, "action", 7, D(2025, 1, 5), 1), (1, "statement", 7, D(2025, 1, 5), 0), (3, "action", 7, D(2025, 1, 5), 1), (2, "action", 9, D(2026, 1, 1), 0)])
+    topical = rows(f"topic_set string, {event}", [("x", "action", 7, D(2025, 1, 5), 0), ("x", "action", 8, D(2025, 1, 20), 0), ("x", "action", 8, D(2025, 1, 20), 0)])
+    found = C.day_candidates(days, named, topical, 45, 30)
+    got = sorted((r.company_id, r.trade_date.month, r.kind, r.event_id, r.days_gap, r.specificity, r.impact) for r in found.collect())
+    assert got == [
+        (1, 1, "action", 7, 4, S.DIRECT, 1), (1, 1, "action", 8, 19, S.TOPICAL, 0), (1, 1, "statement", 7, 4, S.DIRECT, 0), (1, 3, "action", 8, -40, S.TOPICAL, 0),
+        (2, 1, "action", 7, 3, S.TOPICAL, 0), (2, 1, "action", 8, 18, S.TOPICAL, 0), (3, 1, "action", 7, 4, S.DIRECT, 1),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("trade_date" in line and "event_id" in line for line in dealt)
+
+
 def test_pairs_carry_columns_of_their_trade(spark, world):
     trade, *others = frames(spark, world)
     pairs = C.correlate(trade, *others, max_per_trade=2, carry=["date", "type"])
