@@ -224,6 +224,20 @@ def test_pairs_are_not_shuffled(spark, world):
     assert not any(step in above for step in ("Exchange", "Sort ", "Window", "Join"))
 
 
+def test_texts_of_pairs_are_not_sorted(spark):
+    """Unreviewed pairs carry their company's name: above the choice of pairs only event facts are joined."""
+    from catalog import QUERIES
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["verdict_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    above = plan[: plan.index("explode(_best")]
+    assert above.count("Join") == 1 and not any(step in above for step in ("Exchange hash", "Sort "))
+
+
 def test_day_summary_equals_candidates(spark, world):
     trade, filing, company, person, *events = frames(spark, world)
     days = C.scored_trades(trade, filing, company, person).select("company_id", "topic_set", "trade_date").distinct()
