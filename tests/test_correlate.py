@@ -365,3 +365,37 @@ def test_a_batch_that_touches_many_trades_keeps_verdicts(spark, world, monkeypat
     stored = M.stored_pairs(spark, path)
     assert {tuple(r) for r in stored.select(*facts).collect()} == full and stored.count() == len(full)
     assert {tuple(r) for r in stored.where("reason = 'seen'").select(*PAIR).collect()} == said
+
+
+def test_touched_trades_meet_few_events(spark, rows, monkeypatch):
+    """Trades that a topic touches are known by their day; only the others meet the events of their company."""
+    D, rnd = dt.date(2025, 1, 1), random.Random(3)
+    day = lambda n: D + dt.timedelta(days=n)
+    trade = [(i, rnd.randrange(6) or None, day(rnd.randrange(300)) if i % 17 else None) for i in range(200)]
+    topics = {1: ["a"], 2: ["a", "b"], 3: [], 4: ["b"], 5: None}
+    mention = [(s, rnd.choice([None, 1, 2, 3, 4, 5]), rnd.choice([None, "a", "b"])) for s in range(4)]
+    target = [(s, rnd.choice([None, 3, 5]), rnd.choice([None, "b"])) for s in range(4)]
+    changed = [(kind, s, day(40 * s + (0 if kind == "action" else 90))) for kind in ("statement", "action") for s in range(4)]
+    met, joined = [], M.window_join
+
+    def seen(left, *args):
+        met.extend(tuple(r) for r in left.collect())
+        return joined(left, *args)
+
+    monkeypatch.setattr(M, "window_join", seen)
+    link = "company_id int, sector string"
+    touched = M.touched_trades(
+        rows("id int, company_id int, date date", trade), rows("id int, topics array<string>", list(topics.items())),
+        rows(f"statement_id int, {link}", mention), rows(f"action_id int, {link}", target), rows("kind string, event_id int, event_date date", changed))
+    got = [r.trade_id for r in touched.collect()]
+    by_topic, want = set(), set()
+    for kind, s, at in changed:
+        for e, company, topic in mention if kind == "statement" else target:
+            for i, firm, date in trade:
+                if e == s and date and firm and -45 <= (at - date).days <= 30:
+                    if topic in (topics[firm] or []):
+                        by_topic.add(i)
+                    if firm == company or topic in (topics[firm] or []):
+                        want.add(i)
+    assert sorted(got) == sorted(want) and by_topic and want - by_topic
+    assert not {(firm, date) for i, firm, date in trade if i in by_topic} & set(met)
