@@ -137,6 +137,12 @@ def test_candidates_of_nearly_alike_texts(rows):
     assert alike and alike <= found and pairs == len(alike)
 
 
+def test_keys_of_word_sets_are_short_and_distinct(rows):
+    docs = rows("id int, day date, text string, venue string", [(i, D(2025, 1, 1), f"one two three number{i % 50} five", None) for i in range(100)])
+    keys = [r.rep for r in superseding._representatives(superseding._profile(docs)).collect()]
+    assert len(keys) == len(set(keys)) == 50 and max(map(len, keys)) <= 24
+
+
 def test_errors_of_a_run_are_bounded(rows):
     items = [(1, f"2025-01-{1 + i % 9:02d}", f"e{i:03d}" if i % 2 else None) for i in range(300)] + [(None, "2025-01-01", "x"), (2, "2025-01-02", None)]
     got = {r.run_id: r for r in upserts.run_metrics(rows("run_id int, at string, error string", items), "s", most_errors=7).collect()}
