@@ -1,6 +1,7 @@
 """Operators on hand-made frames, with the cases the random data does not have."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,3 +325,6 @@ def test_pages_are_searched_once(rows, monkeypatch):
     got = [tuple(r) for r in found.orderBy("filing", "row_number").select("filing", "page", "row_number", "type", "date", "late", "band").collect()]
     assert got == [(*n, *r) for n, r in zip(
         [("f", 1, 1), ("f", 1, 2), ("f", 2, 3), ("f", 2, 4)], [("Sale", "2025-02-03", True, 1), ("Purchase", "2025-01-04", False, 2)] * 2, strict=True)]
+    reports = pages.page_reports(page, found)
+    assert not re.search(r"BroadcastHashJoin \[filing#\d+, page#", reports._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.filing, r.page, r.rows_found) for r in reports.collect()) == [("f", 1, 2), ("f", 2, 2), ("g", 1, 0)]
